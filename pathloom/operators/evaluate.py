@@ -32,8 +32,12 @@ def exact_percentiles(
         df.groupBy(*groups).agg(
             F.count(value).alias("_n"),
             F.percentile_approx(value, [float(b) for b in bounds], accuracy).alias("_b"),
+            F.min(value).alias("_lo"),
+            F.max(value).alias("_hi"),
         )
     )
+    # a group of a few thousand rows is its own bracket
+    whole = F.col("_n") * margin < 3.0
     targets = sketch.select(
         *groups,
         F.explode(
@@ -41,8 +45,8 @@ def exact_percentiles(
                 *[
                     F.struct(
                         F.lit(i).alias("i"),
-                        F.col("_b")[2 * i].alias("lo"),
-                        F.col("_b")[2 * i + 1].alias("hi"),
+                        F.when(whole, F.col("_lo")).otherwise(F.col("_b")[2 * i]).alias("lo"),
+                        F.when(whole, F.col("_hi")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"),
                         ((F.col("_n") - 1) * F.lit(float(p))).alias("r"),
                     )
                     for i, p in enumerate(probs)
