@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions import expr as X
 from pathloom.operators import localize as LZ
 from pathloom.operators.evaluate import error_metrics
-from pathloom.operators.knn import knn_join
+from pathloom.operators.knn import knn_join_views
 from pathloom.session import materialize
 
 # fixed group names, in concatenation order
@@ -34,18 +35,10 @@ def combinations() -> dict[str, list[str]]:
     return out
 
 
-def group_neighbours(test: DataFrame, train: DataFrame, columns: dict[str, str], enabled: list[str], k: int) -> DataFrame:
-    """Neighbours over the enabled groups only, each column weighted by 1/sqrt(group width)."""
-
-    def vec(df: DataFrame) -> DataFrame:
-        weighted = []
-        for g in enabled:
-            c = columns[g]
-            scale = F.sqrt(F.size(c).cast("double"))
-            weighted.append(F.transform(F.col(c), _divide_by(scale)))
-        return df.select("id", "x", "y", F.concat(*weighted).alias("vec"))
-
-    return knn_join(vec(test), vec(train), k, carry=("x", "y"))
+def _stacked(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """All groups side by side, each column divided by the square root of its group's width."""
+    parts = [F.transform(F.col(c), _divide_by(F.sqrt(F.size(c).cast("double")))) for c in columns.values()]
+    return df.select("id", "x", "y", F.concat(*parts).alias("vec"))
 
 
 def _divide_by(scale):
@@ -55,16 +48,22 @@ def _divide_by(scale):
 def run(test: DataFrame, train: DataFrame, columns: dict[str, str], combos: dict[str, list[str]], k: int, power: float) -> DataFrame:
     """Summaries (combo, n_feat, enabled, method, n, mae, rmse, ...) of wKNN per combination.
 
-    The metrics of all combinations come from one grouped pass over one prediction table.
+    Scaling and weights are per column, so a combination is a column subset of one stacked
+    vector; the metrics of all combinations come from one pass over one prediction table.
     """
-    pred = None
-    for name, enabled in combos.items():
-        nb = group_neighbours(test, train, columns, enabled, k)
-        p = LZ.with_error(LZ.idw_predict(nb, k, power), test).select(F.lit(name).alias("combo"), "query_id", "err")
-        pred = p if pred is None else pred.unionByName(p)
-    m = error_metrics(materialize(pred), "combo")
     sizes = train.limit(1).select(*[F.size(c).alias(g) for g, c in columns.items()]).first()
-    info = [(n, sum(sizes[g] for g in e), list(e)) for n, e in combos.items()]
+    start, at = 0, {}
+    for g in columns:
+        at[g] = list(range(start, start + sizes[g]))
+        start += sizes[g]
+    views = {n: [i for g in columns if g in e for i in at[g]] for n, e in combos.items()}
+    nb = knn_join_views(_stacked(test, columns), _stacked(train, columns), k, views, carry=("x", "y"))
+    w = X.idw_weight(F.col("dist"), F.lit(float(power)))
+    pred = nb.groupBy(F.col("view").alias("combo"), "query_id").agg(
+        (F.sum(w * F.col("x")) / F.sum(w)).alias("px"), (F.sum(w * F.col("y")) / F.sum(w)).alias("py")
+    )
+    m = error_metrics(materialize(LZ.with_error(pred, test).select("combo", "err")), "combo")
+    info = [(n, len(views[n]), list(e)) for n, e in combos.items()]
     info_df = train.sparkSession.createDataFrame(info, "combo string, n_feat int, enabled array<string>")
     # one row per combination
     return m.join(F.broadcast(info_df), "combo").withColumn("method", F.lit("WKNN (IDW)"))

@@ -97,7 +97,31 @@ def knn_join(
     return out
 
 
-def _local(queries: DataFrame, small: pa.Table, k: int, exclude_self: bool, carry) -> DataFrame:
+def knn_join_views(
+    queries: DataFrame, cands: DataFrame, k: int, views: dict[str, list[int]], carry: tuple[str, ...] = (), **plan
+) -> DataFrame:
+    """The same join under several column subsets at once: (view, query_id, rank, ...).
+
+    Small candidate sets are searched under every view in one pass over the queries;
+    otherwise each view is its own blocked join, since pruning depends on the columns.
+    """
+    cols = ["id", "vec"]
+    width = max(int(cands.limit(1).select(F.size("vec")).first()[0]), 1)
+    cap = min(plan.get("local_rows", LOCAL_ROWS), LOCAL_BYTES // (8 * width))
+    c = cands.select(*cols, *[F.col(x).cast("double") for x in carry]).withColumn("fold", F.lit(-2))
+    small = c.limit(cap + 1).toArrow() if cap > 0 else None
+    if small is not None and small.num_rows <= cap:
+        return _local(queries.select(*cols).withColumn("fold", F.lit(-1)), small, k, False, carry, views)
+    out = None
+    for name, at in views.items():
+        pick = F.transform(F.lit([i + 1 for i in at]), lambda i: F.element_at("vec", i))
+        one = knn_join(queries.withColumn("vec", pick), cands.withColumn("vec", pick), k, carry=carry, **plan)
+        one = one.select(F.lit(name).alias("view"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _local(queries: DataFrame, small: pa.Table, k: int, exclude_self: bool, carry, views=None) -> DataFrame:
     packed = queries.sparkSession.sparkContext.broadcast(
         (
             B.matrix(small["vec"]),
@@ -119,21 +143,18 @@ def _local(queries: DataFrame, small: pa.Table, k: int, exclude_self: bool, carr
                 ok = q_fold[s][:, None] != c_fold[None, :]
                 return ok & (q_ids[s][:, None] != c_ids[None, :]) if exclude_self else ok
 
-            rows, at, d = B.topk(q, c, c_ids, k, allowed)
-            first = np.searchsorted(rows, np.arange(len(q)))
-            rank = np.arange(len(rows)) - first[rows] + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(q_ids[rows]),
-                    pa.array(rank.astype(np.int32)),
-                    pa.array(c_ids[at]),
-                    pa.array(d),
-                    *[pa.array(e[at]) for e in extra],
-                ],
-                names=["query_id", "rank", "cand_id", "dist", *carry],
-            )
-
-    return queries.mapInArrow(run, "query_id bigint, rank int, cand_id bigint, dist double" + _ddl(carry))
+            for name, pick in (views or {None: slice(None)}).items():
+                rows, at, d = B.topk(q[:, pick], c[:, pick], c_ids, k, allowed)
+                first = np.searchsorted(rows, np.arange(len(q)))
+                rank = np.arange(len(rows)) - first[rows] + 1
+                found = [q_ids[rows], rank.astype(np.int32), c_ids[at], d, *[e[at] for e in extra]]
+                names = ["query_id", "rank", "cand_id", "dist", *carry]
+                if views:
+                    found, names = [np.repeat(name, len(rows)), *found], ["view", *names]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=names)
+
+    ddl = ("view string, " if views else "") + "query_id bigint, rank int, cand_id bigint, dist double"
+    return queries.mapInArrow(run, ddl + _ddl(carry))
 
 
 def _ddl(carry) -> str:

@@ -200,7 +200,8 @@ def localize_new(measured: DataFrame, database: DataFrame, k: int, power: float
 
 
 # ---------------------------------------------------------------- coarse to fine
-_POOL = "query_id bigint, pool bigint, cand_id bigint, dist double, x double, y double"
+_POOL = "radius double, query_id bigint, pool bigint, cand_id bigint, dist double, x double, y double"
+_POOL_NAMES = ["radius", "query_id", "pool", "cand_id", "dist", "x", "y"]
 
 
 def _pool_topk(lt: dict, rt: dict, radius: float, k: int) -> pa.Table:
@@ -213,6 +214,7 @@ def _pool_topk(lt: dict, rt: dict, radius: float, k: int) -> pa.Table:
     lead = np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
     return pa.Table.from_arrays(
         [
+            pa.array(np.full(len(rows), radius)),
             pa.array(lt["id"][rows]),
             pa.array(np.where(lead, pool[rows], 0).astype(np.int64)),
             pa.array(rt["id"][at]),
@@ -220,7 +222,7 @@ def _pool_topk(lt: dict, rt: dict, radius: float, k: int) -> pa.Table:
             pa.array(rt["x"][at]),
             pa.array(rt["y"][at]),
         ],
-        names=["query_id", "pool", "cand_id", "dist", "x", "y"],
+        names=_POOL_NAMES,
     )
 
 
@@ -233,15 +235,16 @@ def _columns(t, *names: str) -> dict:
 def radius_topk(
     queries: DataFrame,
     cands: DataFrame,
-    radius: float,
+    radii: list[float],
     k: int,
     block_rows: int = BLOCK_ROWS,
     local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
-    """(query_id, pool, nb): candidates within ``radius`` of (cx, cy) and the k nearest in features.
+    """(radius, query_id, pool, nb): candidates within each radius of (cx, cy), and the k of them
+    nearest in features.
 
     ``queries(id, vec, cx, cy, fold)``, ``cands(id, vec, x, y, fold)``; a query with an empty
-    pool is absent. Large candidate sets are joined on a grid of ``radius`` cells (a query
+    pool is absent. Large candidate sets are joined on a grid of cells one radius wide (a query
     looks at 3 x 3 of them); crowded cells are cut into bounded blocks on both sides.
     """
     q = queries.select("id", "vec", "cx", "cy", "fold")
@@ -255,71 +258,82 @@ def radius_topk(
         def stream(batches):
             for b in batches:
                 if b.num_rows:
-                    yield from _pool_topk(_columns(b, "cx", "cy"), shared.value, radius, k).to_batches()
+                    cols = _columns(b, "cx", "cy")
+                    for r in radii:
+                        yield from _pool_topk(cols, shared.value, r, k).to_batches()
 
         parts = q.mapInArrow(stream, _POOL)
     else:
         rows = min(block_rows, max(LOCAL_BYTES // (8 * max(width, 1)), 1))
-        c = c.withColumn("gx", F.floor(F.col("x") / radius)).withColumn("gy", F.floor(F.col("y") / radius))
-        off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        q = (
-            q.withColumn("o", F.explode(off))
-            .withColumn("gx", F.floor(F.col("cx") / radius) + F.col("o.i"))
-            .withColumn("gy", F.floor(F.col("cy") / radius) + F.col("o.j"))
-            .drop("o")
-        )
-        cell = ["gx", "gy"]
-        sizes = materialize(
-            c.groupBy(*cell)
-            .agg(F.count("*").alias("nc"))
-            .join(q.groupBy(*cell).agg(F.count("*").alias("nq")), cell)
-            .withColumn("subs", F.ceil(F.col("nc") / rows).cast("int"))
-            .withColumn("chunks", F.ceil(F.col("nq") / rows).cast("int"))
-        )
-        qn = sizes.select(*cell, "subs", "chunks", F.col("nq").alias("n"))
-        cn = sizes.select(*cell, "subs", "chunks", F.col("nc").alias("n"))
-        q = (
-            salted_lookup(q, qn, cell, "id", rows)
-            .withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
-            .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        )
-        c = (
-            salted_lookup(c, cn, cell, "id", rows)
-            .withColumn("sub", F.pmod(F.xxhash64("id"), "subs"))
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        )
-        keys = [*cell, "sub", "chunk"]
-        q = q.withColumn("sub", F.col("sub").cast("bigint"))
-        c = c.withColumn("chunk", F.col("chunk").cast("bigint"))
-
-        def run(lt: pa.Table, rt: pa.Table) -> pa.Table:
-            if not lt.num_rows or not rt.num_rows:
-                kinds = [pa.int64()] * 3 + [pa.float64()] * 3
-                return pa.Table.from_arrays(
-                    [pa.array([], t) for t in kinds], names=["query_id", "pool", "cand_id", "dist", "x", "y"]
-                )
-            return _pool_topk(_columns(lt, "cx", "cy"), _columns(rt, "x", "y"), radius, k)
-
-        parts = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(run, _POOL)
+        parts = None
+        for r in radii:
+            one = _grid_pools(q, c, r, k, rows)
+            parts = one if parts is None else parts.unionByName(one)
     entry = F.struct("dist", "cand_id", "x", "y")
     # k rows per visited block of a query
-    return parts.groupBy("query_id").agg(
+    return parts.groupBy("radius", "query_id").agg(
         F.sum("pool").alias("pool"), F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("nb")
     )
 
 
+def _grid_pools(q: DataFrame, c: DataFrame, radius: float, k: int, rows: int) -> DataFrame:
+    c = c.withColumn("gx", F.floor(F.col("x") / radius)).withColumn("gy", F.floor(F.col("y") / radius))
+    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    q = (
+        q.withColumn("o", F.explode(off))
+        .withColumn("gx", F.floor(F.col("cx") / radius) + F.col("o.i"))
+        .withColumn("gy", F.floor(F.col("cy") / radius) + F.col("o.j"))
+        .drop("o")
+    )
+    cell = ["gx", "gy"]
+    sizes = materialize(
+        c.groupBy(*cell)
+        .agg(F.count("*").alias("nc"))
+        .join(q.groupBy(*cell).agg(F.count("*").alias("nq")), cell)
+        .withColumn("subs", F.ceil(F.col("nc") / rows).cast("int"))
+        .withColumn("chunks", F.ceil(F.col("nq") / rows).cast("int"))
+    )
+    qn = sizes.select(*cell, "subs", "chunks", F.col("nq").alias("n"))
+    cn = sizes.select(*cell, "subs", "chunks", F.col("nc").alias("n"))
+    q = (
+        salted_lookup(q, qn, cell, "id", rows)
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    )
+    c = (
+        salted_lookup(c, cn, cell, "id", rows)
+        .withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    )
+    keys = [*cell, "sub", "chunk"]
+
+    def run(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        if not lt.num_rows or not rt.num_rows:
+            kinds = [pa.float64()] + [pa.int64()] * 3 + [pa.float64()] * 3
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=_POOL_NAMES)
+        return _pool_topk(_columns(lt, "cx", "cy"), _columns(rt, "x", "y"), radius, k)
+
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(run, _POOL)
+
+
 def _idw_of(nb, k, p, axis: str):
     w = F.transform(F.slice(nb, 1, k), lambda e: F.struct(X.idw_weight(e["dist"], p).alias("w"), e[axis].alias("v")))
     total = F.aggregate(w, F.lit(0.0), lambda a, e: a + e["w"])
     return F.aggregate(w, F.lit(0.0), lambda a, e: a + e["w"] * e["v"]) / total
 
 
-def refine(queries: DataFrame, pools: DataFrame, ks: list[int], powers: list[float], min_candidates: int = 3) -> DataFrame:
-    """Refined predictions for every (k, power); the coarse estimate where the pool is too small."""
-    j = queries.select(F.col("id").alias("query_id"), "cx", "cy").join(pools, "query_id", "left")
+def refine(
+    queries: DataFrame, pools: DataFrame, radii: list[float], ks: list[int], powers: list[float], min_candidates: int = 3
+) -> DataFrame:
+    """Refined predictions for every (radius, k, power); the coarse estimate where the pool is too small."""
+    base = queries.select(
+        F.col("id").alias("query_id"), "cx", "cy", F.explode(F.lit([float(r) for r in radii])).alias("radius")
+    )
+    j = base.join(pools, ["radius", "query_id"], "left")
     g = j.withColumn("k", F.explode(F.lit(ks))).withColumn("p", F.explode(F.lit([float(v) for v in powers])))
     fine = F.coalesce(F.col("pool"), F.lit(0)) >= F.greatest(F.lit(min_candidates), F.col("k"))
     return g.select(
+        "radius",
         "query_id",
         "k",
         "p",
@@ -341,11 +355,8 @@ def c2f_cv_grid(
 ) -> DataFrame:
     """Mean over folds of the refined error for every (radius, k, power)."""
     q = materialize(coarse_oof(train, coarse_k, coarse_p))
-    out = None
-    for r in radii:
-        pools = radius_topk(q, train, r, max(ks))
-        e = with_error(refine(q, pools, ks, powers, min_candidates), train).withColumn("radius", F.lit(float(r)))
-        out = e if out is None else out.unionByName(e)
+    pools = radius_topk(q, train, list(radii), max(ks))
+    out = with_error(refine(q, pools, list(radii), ks, powers, min_candidates), train)
     per_fold = out.groupBy("radius", "k", "p", "fold").agg(F.avg("err").alias("fold_err"))
     return per_fold.groupBy("radius", "k", "p").agg(F.avg("fold_err").alias("cv_err"))
 
@@ -359,8 +370,8 @@ def c2f(
         test.join(coarse.select(F.col("query_id").alias("id"), F.col("px").alias("cx"), F.col("py").alias("cy")), "id")
         .withColumn("fold", F.lit(-1))
     )
-    pools = radius_topk(q, train.withColumn("fold", F.lit(-2)), radius, k)
-    return with_error(refine(q, pools, [k], [power], min_candidates), test.drop("fold")).withColumn(
+    pools = radius_topk(q, train.withColumn("fold", F.lit(-2)), [radius], k)
+    return with_error(refine(q, pools, [radius], [k], [power], min_candidates), test.drop("fold")).withColumn(
         "method", F.lit("WKNN C2F")
     )
 
