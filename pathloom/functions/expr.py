@@ -162,6 +162,14 @@ def checkerboard_parity(x: Column, y: Column, x0: float, y0: float, step: float)
     return F.pmod(xi + yi, F.lit(2.0)).cast("int")
 
 
+def sorted_position(v: Column, bounds: Column, levels: int) -> Column:
+    """How many of the 2**levels - 1 ascending ``bounds`` lie below v, by halving."""
+    steps = F.lit([1 << i for i in reversed(range(levels))])
+    return F.aggregate(
+        steps, F.lit(0), lambda pos, step: pos + F.when(F.element_at(bounds, pos + step) < v, step).otherwise(F.lit(0))
+    )
+
+
 def euclid2(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 

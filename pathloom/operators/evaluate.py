@@ -102,15 +102,6 @@ def error_metrics(pred: DataFrame, *groups: str, err: str = "err") -> DataFrame:
     return base.join(wide, list(groups))
 
 
-def _bucket_of(v, bounds, levels: int):
-    """Number of sorted ``bounds`` (2**levels - 1 of them) below v, by binary search."""
-    pos = F.lit(0)
-    for level in reversed(range(levels)):
-        step = 1 << level
-        pos = pos + F.when(F.element_at(bounds, pos + step) < v, F.lit(step)).otherwise(F.lit(0))
-    return pos
-
-
 def error_cdf(pred: DataFrame, *groups: str, err: str = "err") -> DataFrame:
     """Empirical CDF: one row per distinct error with its multiplicity and cumulative share.
 
@@ -126,7 +117,7 @@ def error_cdf(pred: DataFrame, *groups: str, err: str = "err") -> DataFrame:
     counts = materialize(pred.groupBy(*g, F.col(err).alias("err")).agg(F.count("*").alias("n_tied")))
     bounds = counts.groupBy(*g).agg(F.percentile_approx("err", cuts, 10_000).alias("_b"))
     bounds = _small(materialize(bounds))
-    placed = counts.join(bounds, g).withColumn("_k", _bucket_of(F.col("err"), F.col("_b"), levels)).drop("_b")
+    placed = counts.join(bounds, g).withColumn("_k", X.sorted_position(F.col("err"), F.col("_b"), levels)).drop("_b")
     per = placed.groupBy(*g, "_k").agg(F.sum("n_tied").alias("_s"))
     before = W.partitionBy(*g).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
     offsets = per.select(

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from pathloom.operators import blocks as B
 from pathloom.operators.skew import salted_lookup
-from pathloom.session import materialize
+from pathloom.session import fresh, materialize
 
 LOCAL_ROWS = 4096  # candidates shipped to every task: at most this many rows ...
 LOCAL_BYTES = 64 << 20  # ... and this many bytes
@@ -267,7 +267,7 @@ def pair_blocks(routed: DataFrame, cells: DataFrame, block_rows: int):
         .drop("subs", "chunks")
     )
     keys = ["cell", "sub", "chunk"]
-    return q.groupBy(*keys), c.groupBy(*keys)
+    return fresh(q).groupBy(*keys), fresh(c).groupBy(*keys)
 
 
 def _blocked(queries, cands, k: int, exclude_self: bool, block_rows: int, carry) -> DataFrame:

@@ -16,7 +16,7 @@ from pathloom.operators import blocks as B
 from pathloom.operators.evaluate import exact_percentiles
 from pathloom.operators.knn import BLOCK_ROWS, LOCAL_BYTES, LOCAL_ROWS, knn_join
 from pathloom.operators.skew import salted_lookup
-from pathloom.session import materialize
+from pathloom.session import fresh, materialize
 
 # fixed hyper-parameter grids
 WKNN_K = list(range(1, 26))
@@ -313,7 +313,7 @@ def _grid_pools(q: DataFrame, c: DataFrame, radius: float, k: int, rows: int) ->
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=_POOL_NAMES)
         return _pool_topk(_columns(lt, "cx", "cy"), _columns(rt, "x", "y"), radius, k)
 
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(run, _POOL)
+    return fresh(q).groupBy(*keys).cogroup(fresh(c).groupBy(*keys)).applyInArrow(run, _POOL)
 
 
 def _idw_of(nb, k, p, axis: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "pathloom", memory: str = "8g") -> SparkSession:
@@ -42,3 +43,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a stage that several later stages read (and cut its lineage) to reliable storage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """Re-alias every column, so that two frames of one origin can be co-grouped."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
