@@ -42,11 +42,15 @@ def match_paths(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
         side = -SUB_BINS if lower else SUB_BINS
         pos = F.col("d") - threshold if lower else F.col("d") + threshold
         near = F.explode(F.array(*[F.col("bin") + side + i for i in (-1, 0, 1)]))
-        probes = qa.select("rx_id", near.alias("bin"), "d", pos.alias("pos"), F.lit(None).cast(entry_type).alias("best"))
-        rows = b1.select("rx_id", "bin", F.lit(None).cast("double").alias("d"), "pos", "best").unionByName(probes)
-        # bounds are strict: at equal positions the probe sorts before the path
+        # a path exactly at the rounded end counts if its own difference is below the threshold
+        turn = F.when(F.abs(pos - F.col("d")) < threshold, 2).otherwise(0)
+        probes = qa.select(
+            "rx_id", near.alias("bin"), "d", pos.alias("pos"), turn.alias("turn"), F.lit(None).cast(entry_type).alias("best")
+        )
+        rows = b1.select("rx_id", "bin", F.lit(None).cast("double").alias("d"), "pos", F.lit(1).alias("turn"), "best")
+        rows = rows.unionByName(probes)
         order = F.col("pos").desc() if lower else F.col("pos").asc()
-        w = W.partitionBy("rx_id", "bin").orderBy(order, F.col("d").asc_nulls_last())
+        w = W.partitionBy("rx_id", "bin").orderBy(order, "turn")
         run = F.min("best").over(w.rowsBetween(W.unboundedPreceding, -1))
         return rows.withColumn("m", run).filter(F.col("d").isNotNull()).select("rx_id", "d", "m")
 

@@ -48,12 +48,9 @@ def tool_comparison(spark, d):
 
 
 def valid_paths(spark, d):
-    """Rows passing each of the path predicates, per transmitter."""
+    """Slots passing each of the path predicates, per transmitter."""
     t, a = F.col("delay_ns"), F.col("amp")
-    # a few slots are padded (zero delay or amplitude), as in a dense path tensor
-    p = C.event_paths(spark, d).withColumn("delay_ns", F.when(F.pmod("path_id", F.lit(13)) == 0, 0.0).otherwise(t))
-    p = p.withColumn("amp", F.when(F.pmod("path_id", F.lit(17)) == 0, 0.0).otherwise(a))
-    p = p.withColumn("az_deg", F.when(F.pmod("path_id", F.lit(19)) == 0, float("nan")).otherwise(F.col("az_deg")))
+    p = C.event_slots(spark, d)
     one = lambda c: F.sum(c.cast("bigint"))
     return p.groupBy("tx_id").agg(
         F.count("*").alias("n"),
@@ -69,7 +66,7 @@ def paths_per_rx_hist(spark, d):
 
 
 def data_quality(spark, d):
-    return publish(S.data_quality(C.event_paths(spark, d), "tx_id"))
+    return publish(S.data_quality(C.event_slots(spark, d), "tx_id"))
 
 
 def delay_histogram(spark, d):
@@ -274,16 +271,14 @@ ORACLES = {
           {q('sqrt(sum((delay_ns-mu)*(delay_ns-mu)*w)/sum(w))', 'spread_std')}, CAST(any_value(si) AS BIGINT) AS strong_idx
         FROM pw JOIN mom USING (rx_id, tx_id) GROUP BY rx_id, tx_id""",
     "tool_comparison": f"""WITH {P} SELECT CASE WHEN path_id % 2 = 0 THEN 'A' ELSE 'B' END AS tool, {_STATS} FROM paths GROUP BY 1""",
-    "valid_paths": f"""WITH {P}, v AS (SELECT tx_id, CASE WHEN path_id % 13 = 0 THEN 0.0::DOUBLE ELSE delay_ns END AS t,
-            CASE WHEN path_id % 17 = 0 THEN 0.0::DOUBLE ELSE amp END AS a, path_id % 19 <> 0 AS az_ok FROM paths)
-        SELECT tx_id, count(*) AS n, CAST(sum(CASE WHEN t > 0 AND a > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_strict,
-          CAST(sum(CASE WHEN t >= 0 AND a > 1e-20 THEN 1 ELSE 0 END) AS BIGINT) AS n_export,
-          CAST(sum(CASE WHEN t > 0 AND a > 1e-20 THEN 1 ELSE 0 END) AS BIGINT) AS n_compare,
-          CAST(sum(CASE WHEN az_ok AND a > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_cov FROM v GROUP BY tx_id""",
+    "valid_paths": f"""WITH {P} SELECT tx_id, count(*) AS n, CAST(sum(CASE WHEN delay_ns > 0 AND amp > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_strict,
+          CAST(sum(CASE WHEN delay_ns >= 0 AND amp > 1e-20 THEN 1 ELSE 0 END) AS BIGINT) AS n_export,
+          CAST(sum(CASE WHEN delay_ns > 0 AND amp > 1e-20 THEN 1 ELSE 0 END) AS BIGINT) AS n_compare,
+          CAST(sum(CASE WHEN amp > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_cov FROM slots GROUP BY tx_id""",
     "paths_per_rx_hist": f"""WITH {P}, per AS (SELECT rx_id, count(*) AS n_paths FROM paths GROUP BY rx_id)
         SELECT n_paths, count(*) AS n_rx, {q('count(*) * 100.0::DOUBLE / (SELECT count(*) FROM per)', 'pct')} FROM per GROUP BY n_paths""",
     "data_quality": f"""WITH {P}, per AS (SELECT tx_id, rx_id, count(*) AS np, sum(CASE WHEN amp = 0 THEN 1 ELSE 0 END) AS nz
-          FROM paths GROUP BY 1, 2)
+          FROM slots GROUP BY 1, 2)
         SELECT tx_id, count(*) AS reached_rx, {q('avg(np)', 'mean_paths')}, max(np) AS max_paths, min(np) AS min_paths,
           CAST(0 AS BIGINT) AS nan_values, CAST(sum(nz) AS BIGINT) AS zero_amps FROM per GROUP BY tx_id""",
     "delay_histogram": f"""WITH {P} SELECT tx_id, CAST(least(floor(delay_ns / 10.0::DOUBLE), 49) AS INTEGER) AS bin, count(*) AS n

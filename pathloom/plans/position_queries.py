@@ -284,7 +284,7 @@ def propagate(spark, d):
     """Chart positions of every point from the training points' positions."""
     p = _points(spark, d)
     fitted = p.filter(~F.col("is_test")).select("id", "vec", F.col("vec")[0].alias("z1"), F.col("vec")[1].alias("z2"))
-    return publish(CH.propagate(fitted, p.filter("is_test")))
+    return publish(CH.propagate(fitted, p))
 
 
 def geographic_rgb(spark, d):
@@ -501,7 +501,8 @@ ORACLES = {
     "nnle_idw": f"""WITH {PT}, {_ranks(0, False)}, e AS (SELECT i, sqrt(pow(sum(b.x/(dl+1e-10))/sum(1/(dl+1e-10))-any_value(a.x), 2)+pow(sum(b.y/(dl+1e-10))/sum(1/(dl+1e-10))-any_value(a.y), 2)) AS err
           FROM rk JOIN points a ON a.id = i JOIN points b ON b.id = j WHERE rl <= 5 GROUP BY i) SELECT {q('avg(err)', 'nnle_idw')} FROM e""",
     "chart_winners": _winner_sql(),
-    "propagate": f"""WITH {PT}, {_NN} SELECT query_id AS id, {q(f'sum({_W}*c.vec[1])/sum({_W})', 'z1')}, {q(f'sum({_W}*c.vec[2])/sum({_W})', 'z2')}
+    "propagate": f"""WITH {PT}, nn AS (SELECT t.id AS query_id, c.id AS cand_id, list_distance(t.vec, c.vec) AS dist,
+          row_number() OVER (PARTITION BY t.id ORDER BY list_distance(t.vec, c.vec), c.id) AS rank FROM points t JOIN points c ON NOT c.is_test) SELECT query_id AS id, {q(f'sum({_W}*c.vec[1])/sum({_W})', 'z1')}, {q(f'sum({_W}*c.vec[2])/sum({_W})', 'z2')}
         FROM nn JOIN points c ON c.id = cand_id WHERE rank <= 5 GROUP BY query_id""",
     "geographic_rgb": f"""WITH {PT}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points)
         SELECT id, {q('(x-x0)/(x1-x0)', 'r')}, {q('(y-y0)/(y1-y0)', 'g')}, {q('0.4::DOUBLE', 'b')} FROM points, b""",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions import expr as X
+
 # fixed transmitter numbering: alphabetical event types
 TX_TYPES = ["click", "error", "purchase", "signup", "view"]
 N_TX = len(TX_TYPES)
@@ -25,24 +27,28 @@ def _tx_of(event_type) -> F.Column:
     return (F.array_position(F.array(*[F.lit(t) for t in TX_TYPES]), event_type) - 1).cast("int")
 
 
-def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paths(rx_id, tx_id, path_id, delay_ns, amp, az_deg, el_deg); one tx in ten links is unreached."""
-    e = table(spark, sf_dir, "events")
+def event_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All path slots of the dense link tensor: one per event. As in a padded tensor, the slots
+    of a link that is not reached (one transmitter per receiver) carry amplitude 0."""
+    e = table(spark, sf_dir, "events").withColumn("tx_id", _tx_of(F.col("event_type")))
     eid = F.col("event_id")
-    return (
-        e.select(
-            F.col("user_id").alias("rx_id"),
-            _tx_of(F.col("event_type")).alias("tx_id"),
-            eid.alias("path_id"),
-            F.col("value").alias("delay_ns"),
-            ((F.pmod(eid, F.lit(97)) + 1) / (F.lit(1000.0) * (F.lit(1.0) + F.col("value")))).alias("amp"),
-            (F.pmod(eid * 37, F.lit(360)) - 180).cast("double").alias("az_deg"),
-            F.pmod(eid * 53, F.lit(181)).cast("double").alias("el_deg"),
-        )
-        .filter(F.pmod(F.col("rx_id"), F.lit(10)) != F.col("tx_id"))
+    level = (F.pmod(eid, F.lit(97)) + 1) / (F.lit(1000.0) * (F.lit(1.0) + F.col("value")))
+    return e.select(
+        F.col("user_id").alias("rx_id"),
+        "tx_id",
+        eid.alias("path_id"),
+        F.col("value").alias("delay_ns"),
+        F.when(F.pmod("user_id", F.lit(10)) == F.col("tx_id"), 0.0).otherwise(level).alias("amp"),
+        (F.pmod(eid * 37, F.lit(360)) - 180).cast("double").alias("az_deg"),
+        F.pmod(eid * 53, F.lit(181)).cast("double").alias("el_deg"),
     )
 
 
+def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paths(rx_id, tx_id, path_id, delay_ns, amp, az_deg, el_deg): the valid slots."""
+    return event_slots(spark, sf_dir).filter(X.valid_path(F.col("delay_ns"), F.col("amp")))
+
+
 def event_rx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receiver dimension: one grid position per user, reached or not."""
     return (
@@ -93,17 +99,18 @@ def lineitem_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the same projections in SQL, for the side-by-side checks
-PATHS_SQL = """paths AS (
-  SELECT * FROM (
+PATHS_SQL = """slots AS (
+  SELECT rx_id, tx_id, path_id, delay_ns, CASE WHEN rx_id % 10 = tx_id THEN 0.0::DOUBLE ELSE level END AS amp, az_deg, el_deg
+  FROM (
     SELECT user_id AS rx_id,
            CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
                 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS INTEGER) AS tx_id,
            event_id AS path_id, value AS delay_ns,
-           (event_id % 97 + 1) / (1000.0::DOUBLE * (1.0::DOUBLE + value)) AS amp,
+           (event_id % 97 + 1) / (1000.0::DOUBLE * (1.0::DOUBLE + value)) AS level,
            CAST((event_id * 37) % 360 - 180 AS DOUBLE) AS az_deg,
            CAST((event_id * 53) % 181 AS DOUBLE) AS el_deg
-    FROM events) p
-  WHERE rx_id % 10 <> tx_id)"""
+    FROM events) p),
+  paths AS (SELECT * FROM slots WHERE delay_ns > 0 AND amp > 0)"""
 
 RX_SQL = """rx AS (
   SELECT rx_id, CAST(rx_id % 25 AS INTEGER) AS ix, CAST(rx_id // 25 AS INTEGER) AS iy,
