@@ -18,7 +18,8 @@ def match_paths(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     Candidate pairs are never listed. Both sides are reduced to distinct delays, and the
     lowest id over a delay interval comes from three pieces:
       * whole delay bins inside the interval - a range window over per-bin minima,
-      * the cut bin at either end - running minima inside that one bin.
+      * the cut bins at either end - running minima inside a bin; values within rounding of
+        the end are compared one by one.
     Bins are 1/64 of the threshold wide, so a receiver with many paths spreads over many.
     """
     width = threshold / SUB_BINS
@@ -37,24 +38,30 @@ def match_paths(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     w = W.partitionBy("rx_id").orderBy("bin").rangeBetween(-(SUB_BINS - 2), SUB_BINS - 2)
     inner = both.withColumn("m", F.min("best").over(w)).filter("is_q").select("rx_id", "bin", F.col("m").alias("m0"))
 
-    # cut bins: the bins around either end, by running minima
+    # cut bins: the bins around either end, by running minima of the rows clearly inside
+    hair = threshold * 1e-9
+
     def edge(lower: bool) -> DataFrame:
         side = -SUB_BINS if lower else SUB_BINS
-        pos = F.col("d") - threshold if lower else F.col("d") + threshold
-        near = F.explode(F.array(*[F.col("bin") + side + i for i in (-1, 0, 1)]))
-        # a path exactly at the rounded end counts if its own difference is below the threshold
-        turn = F.when(F.abs(pos - F.col("d")) < threshold, 2).otherwise(0)
-        probes = qa.select(
-            "rx_id", near.alias("bin"), "d", pos.alias("pos"), turn.alias("turn"), F.lit(None).cast(entry_type).alias("best")
-        )
-        rows = b1.select("rx_id", "bin", F.lit(None).cast("double").alias("d"), "pos", F.lit(1).alias("turn"), "best")
-        rows = rows.unionByName(probes)
+        pos = F.col("d") - (threshold - hair) if lower else F.col("d") + (threshold - hair)
+        around = F.explode(F.array(*[F.col("bin") + side + i for i in (-1, 0, 1)]))
+        probes = qa.select("rx_id", around.alias("bin"), "d", pos.alias("pos"), F.lit(None).cast(entry_type).alias("best"))
+        rows = b1.select("rx_id", "bin", F.lit(None).cast("double").alias("d"), "pos", "best").unionByName(probes)
         order = F.col("pos").desc() if lower else F.col("pos").asc()
-        w = W.partitionBy("rx_id", "bin").orderBy(order, "turn")
+        w = W.partitionBy("rx_id", "bin").orderBy(order, F.col("d").asc_nulls_last())
         run = F.min("best").over(w.rowsBetween(W.unboundedPreceding, -1))
         return rows.withColumn("m", run).filter(F.col("d").isNotNull()).select("rx_id", "d", "m")
 
-    ends = edge(True).unionByName(edge(False)).groupBy("rx_id", "d").agg(F.min("m").alias("m1"))
+    # rows within rounding of an end: an equi-join on hair-wide cells and the condition itself
+    cell = lambda c: F.floor(c / (2 * hair))
+    ends_of = F.array(*[cell(F.col("d") + s * threshold) + i for s in (-1, 1) for i in (-1, 0, 1)])
+    close = (
+        b1.select("rx_id", "pos", "best", cell(F.col("pos")).alias("cell"))
+        .join(qa.select("rx_id", "d", F.explode(F.array_distinct(ends_of)).alias("cell")), ["rx_id", "cell"])
+        .filter(F.abs(F.col("pos") - F.col("d")) < threshold)
+        .select("rx_id", "d", F.col("best").alias("m"))
+    )
+    ends = edge(True).unionByName(edge(False)).unionByName(close).groupBy("rx_id", "d").agg(F.min("m").alias("m1"))
     found = (
         qa.join(inner, ["rx_id", "bin"])
         .join(ends, ["rx_id", "d"])
