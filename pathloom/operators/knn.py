@@ -30,7 +30,8 @@ from pathloom.session import fresh, materialize
 LOCAL_ROWS = 4096  # candidates shipped to every task: at most this many rows ...
 LOCAL_BYTES = 64 << 20  # ... and this many bytes
 BLOCK_ROWS = 4096  # rows of one side in one block
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 8192  # and at most PIVOT_BYTES of them
+PIVOT_BYTES = 32 << 20
 
 
 def _cosine_vectors(df: DataFrame, side: str) -> DataFrame:
@@ -168,7 +169,8 @@ def _plus(df: DataFrame, *fields: T.StructField) -> T.StructType:
 def pivots_of(cands: DataFrame, block_rows: int) -> np.ndarray:
     """A bounded, deterministic sample of candidate vectors."""
     n = cands.count()
-    p = int(min(MAX_PIVOTS, max(1, -(-n // block_rows))))
+    width = max(int(cands.limit(1).select(F.size("vec")).first()[0]), 1)
+    p = int(min(MAX_PIVOTS, max(1, PIVOT_BYTES // (8 * width)), max(1, -(-n // block_rows))))
     rows = cands.orderBy(F.xxhash64("id"), "id").select("vec").limit(p).toArrow()
     return np.unique(B.matrix(rows["vec"]), axis=0)
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import expr as X
+from pathloom.operators.skew import ROWS_PER_SALT, salted_lookup
+from pathloom.session import materialize
 
 LINK = ["rx_id", "tx_id"]
 
@@ -46,6 +48,14 @@ def dominant_path(paths: DataFrame) -> DataFrame:
     )
 
 
+def with_first_flag(paths: DataFrame) -> DataFrame:
+    """Add ``is_first``: whether a path is the earliest of its link (hot links are split)."""
+    first = F.min(F.struct("delay_ns", "path_id"))["path_id"]
+    per = materialize(paths.groupBy(*LINK).agg(F.count("*").alias("n"), first.alias("_first")))
+    out = salted_lookup(paths, per, LINK, "path_id", ROWS_PER_SALT)
+    return out.withColumn("is_first", F.col("path_id") == F.col("_first")).drop("_first")
+
+
 def strongest_path(paths: DataFrame) -> DataFrame:
     """Attributes of the path with the least path loss of each link."""
     picked = F.struct("path_id", "delay_ns", "amp", "az_deg", "el_deg")
@@ -71,7 +81,8 @@ def link_grid(rx: DataFrame, links: DataFrame, n_tx: int) -> DataFrame:
 
 
 def impute_links(grid: DataFrame) -> DataFrame:
-    """Fill unreached links: RSS floor, path-loss ceiling, mean delay, zero angles."""
+    """Fill unreached links: RSS floor, path-loss ceiling, mean delay, zero angles.
+    Reads the grid twice: pass a materialised frame."""
     ok = F.col("reached")
     stats = grid.groupBy("tx_id").agg(
         F.min(F.when(ok, F.col("rss"))).alias("_rss"),
@@ -117,7 +128,8 @@ def tdoa_pairs(grid: DataFrame, n_tx: int) -> DataFrame:
 
 
 def tdoa_imputed(pairs: DataFrame) -> DataFrame:
-    """Missing pairs take the mean of the receivers that have the pair (0 if none has)."""
+    """Missing pairs take the mean of the receivers that have the pair (0 if none has).
+    Reads the pairs twice: pass pairs of a materialised grid."""
     means = pairs.groupBy("tx_i", "tx_j").agg(F.avg("tdoa").alias("_m"))
     return pairs.join(F.broadcast(means), ["tx_i", "tx_j"], "left").select(
         "rx_id", "tx_i", "tx_j", F.coalesce("tdoa", "_m", F.lit(0.0)).alias("tdoa")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import expr as X
+from pathloom.operators.skew import ROWS_PER_SALT, salted_lookup
+from pathloom.session import materialize
 
 SUB_BINS = 64  # delay bins per threshold width
 
@@ -27,8 +29,10 @@ def match_paths(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     bin_of = lambda c: F.floor(c / width)
     # lowest id of b per distinct delay, with what the result needs of it
     best = F.struct(F.col("path_id").alias("j"), F.col("delay_ns").alias("db"), gb.alias("gb"))
-    b1 = b.groupBy("rx_id", F.col("delay_ns").alias("pos")).agg(F.min(best).alias("best")).withColumn("bin", bin_of(F.col("pos")))
-    qa = a.groupBy("rx_id", F.col("delay_ns").alias("d")).agg(F.count("*").alias("_n")).withColumn("bin", bin_of(F.col("d")))
+    b1 = b.groupBy("rx_id", F.col("delay_ns").alias("pos")).agg(F.min(best).alias("best"))
+    b1 = materialize(b1.withColumn("bin", bin_of(F.col("pos"))))
+    qa = a.groupBy("rx_id", F.col("delay_ns").alias("d")).agg(F.count("*").alias("n"))
+    qa = materialize(qa.withColumn("bin", bin_of(F.col("d"))))
 
     # whole bins: both interval ends lie at least one bin outside
     per_bin = b1.groupBy("rx_id", "bin").agg(F.min("best").alias("best"))
@@ -65,11 +69,12 @@ def match_paths(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     found = (
         qa.join(inner, ["rx_id", "bin"])
         .join(ends, ["rx_id", "d"])
-        .select("rx_id", "d", F.least("m0", "m1").alias("m"))
+        .select("rx_id", "d", "n", F.least("m0", "m1").alias("m"))
         .filter(F.col("m").isNotNull())
     )
     left = a.select("rx_id", F.col("path_id").alias("i"), F.col("delay_ns").alias("d"), ga.alias("gain_a"))
-    return left.join(found, ["rx_id", "d"]).select(
+    # many paths of a may share one delay
+    return salted_lookup(left, materialize(found), ["rx_id", "d"], "i", ROWS_PER_SALT).select(
         "rx_id",
         "i",
         F.col("m.j").alias("j"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1000
+ROWS_PER_SALT = 2_000_000  # rows of one key that may share a task
 
 
 def salted_lookup(big: DataFrame, per_key: DataFrame, keys: list[str], spread: str, rows_per_salt: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pathloom.operators import links as L
 from pathloom.operators import match as M
 from pathloom.operators import stats as S
 from pathloom.plans.common import publish, q, qs
+from pathloom.session import materialize
 from pathloom.sources import carriers as C
 
 P, RX = C.PATHS_SQL, C.RX_SQL
@@ -25,8 +26,7 @@ def _grid(spark, d):
 
 def path_stats(spark, d):
     """Path statistics with delay spread per transmitter."""
-    p = C.event_paths(spark, d)
-    return publish(S.path_stats(p, "tx_id").join(S.rms_delay_spread(p, "tx_id").select("tx_id", "rms_spread"), "tx_id"))
+    return publish(S.path_summary(C.event_paths(spark, d), "tx_id"))
 
 
 def rms_delay_spread(spark, d):
@@ -42,9 +42,8 @@ def delay_spread_profile(spark, d):
 
 
 def tool_comparison(spark, d):
-    """Two sources side by side: statistics of each, unioned under a tool label."""
-    p = _tools(spark, d)
-    return publish(S.path_stats(p.filter("tool = 'A'"), "tool").unionByName(S.path_stats(p.filter("tool = 'B'"), "tool")))
+    """Two sources side by side under a tool label, from one scan."""
+    return publish(S.path_stats(_tools(spark, d), "tool"))
 
 
 def valid_paths(spark, d):
@@ -80,7 +79,7 @@ def azimuth_histogram(spark, d):
 def spread_histogram(spark, d):
     """Histogram of per-link delay spreads between their extremes, ten bins."""
     p = S.rms_delay_spread(C.event_paths(spark, d), "rx_id", "tx_id").filter("n >= 2")
-    return S.auto_histogram(p.select(X.q6(F.col("rms_spread")).alias("v")), "v", 10)
+    return S.auto_histogram(materialize(p.select(X.q6(F.col("rms_spread")).alias("v"))), "v", 10)
 
 
 def link_gain(spark, d):
@@ -141,7 +140,7 @@ def reached_flags(spark, d):
 
 
 def imputed_links(spark, d):
-    return publish(L.impute_links(_grid(spark, d)).withColumn("reached", F.col("reached").cast("int")))
+    return publish(L.impute_links(materialize(_grid(spark, d))).withColumn("reached", F.col("reached").cast("int")))
 
 
 def tdoa_pairs(spark, d):
@@ -149,7 +148,7 @@ def tdoa_pairs(spark, d):
 
 
 def tdoa_imputed(spark, d):
-    return publish(L.tdoa_imputed(L.tdoa_pairs(_grid(spark, d), C.N_TX)))
+    return publish(L.tdoa_imputed(L.tdoa_pairs(materialize(_grid(spark, d)), C.N_TX)))
 
 
 def all_reached_rx(spark, d):
@@ -169,13 +168,11 @@ def match_stats(spark, d):
 
 def departure_angles(spark, d):
     """Departure angles: bearing on the first path of a link, reversed arrival otherwise."""
-    p = C.event_paths(spark, d)
-    dom = L.dominant_path(p).select("rx_id", "tx_id", F.col("path_id").alias("first_id"))
-    j = p.join(dom, ["rx_id", "tx_id"])
+    j = L.with_first_flag(C.event_paths(spark, d))
     x, y = F.pmod("rx_id", F.lit(25)) * 2.5 - 47.5, F.floor(F.col("rx_id") / 25) * 2.5 - 60.0
     tx, ty = F.col("tx_id") * 20.0 - 40.0, F.col("tx_id") * -15.0 + 30.0
     az, el = X.aod_deg(
-        F.col("path_id") == F.col("first_id"), x - tx, y - ty, F.lit(1.25 - 19.0), F.col("az_deg"), F.col("el_deg") - 90.0
+        F.col("is_first"), x - tx, y - ty, F.lit(1.25 - 19.0), F.col("az_deg"), F.col("el_deg") - 90.0
     )
     # azimuth is meaningless straight up or down, and +180 equals -180
     return publish(

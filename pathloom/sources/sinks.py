@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import expr as X
+from pathloom.operators.links import with_first_flag
+from pathloom.operators.skew import ROWS_PER_SALT, salted_lookup
+from pathloom.session import materialize
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -57,15 +60,14 @@ def wide_paths(paths: DataFrame, tx: DataFrame, rx: DataFrame, source: str, fc:
 
     The first path of a link is taken as direct, all others as reversed arrivals.
     """
-    from pathloom.operators.links import dominant_path
-
-    first = dominant_path(paths).select("rx_id", "tx_id", F.col("path_id").alias("_first"))
     # the transmitter list is a layout table: as many rows as the array has transmitters
     t = F.broadcast(tx.select("tx_id", F.col("x").alias("bs_x"), F.col("y").alias("bs_y"), F.col("z").alias("bs_z")))
     r = rx.select("rx_id", F.col("x").alias("ue_x"), F.col("y").alias("ue_y"), F.col("z").alias("ue_z"))
-    j = paths.join(first, ["rx_id", "tx_id"]).join(t, "tx_id").join(r, "rx_id")
+    # receiver positions by receiver: a receiver may hold very many paths
+    per_rx = materialize(paths.groupBy("rx_id").agg(F.count("*").alias("n")).join(r, "rx_id"))
+    j = salted_lookup(with_first_flag(paths).join(t, "tx_id"), per_rx, ["rx_id"], "path_id", ROWS_PER_SALT)
     az, el = X.aod_deg(
-        F.col("path_id") == F.col("_first"),
+        F.col("is_first"),
         F.col("ue_x") - F.col("bs_x"),
         F.col("ue_y") - F.col("bs_y"),
         F.col("ue_z") - F.col("bs_z"),
