@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,21 @@ def local_session(cores: int | str = 8, app: str = "pathloom", memory: str = "8g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, wherever the driver was started.
+
+    The same as submitting it with ``--py-files``; done once per application.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pathloom_shipped", None) != sc.applicationId:
+        root = Path(__file__).resolve().parent
+        if root.parent.is_dir():  # not when already running from a shipped archive
+            out = Path(tempfile.mkdtemp(prefix="pathloom-pkg-")) / "pathloom"
+            sc.addPyFile(shutil.make_archive(str(out), "zip", root.parent, root.name))
+        sc._pathloom_shipped = sc.applicationId
     return spark
 
 
