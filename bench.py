@@ -17,7 +17,7 @@ HEADLINE = [
     "path_stats", "rms_delay_spread", "angular_spread", "big_link_features", "path_percentiles", "imputed_links",
     "tdoa_imputed", "fingerprint_scalars", "ofdm_mag_db", "cov_eig", "path_match", "knn_topk", "wknn_cv_grid",
     "wknn_metrics", "c2f_cv_grid", "error_cdf", "ablation_table", "trustworthiness", "kruskal_stress",
-    "localization_pipeline",
+    "paths_to_position",
 ]
 
 

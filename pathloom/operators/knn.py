@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from pathloom.operators import blocks as B
 from pathloom.operators.skew import salted_lookup
-from pathloom.session import fresh, materialize
+from pathloom.session import fresh, materialize, spread
 
 LOCAL_ROWS = 4096  # candidates shipped to every task: at most this many rows ...
 LOCAL_BYTES = 64 << 20  # ... and this many bytes
@@ -155,7 +155,7 @@ def _local(queries: DataFrame, small: pa.Table, k: int, exclude_self: bool, carr
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=names)
 
     ddl = ("view string, " if views else "") + "query_id bigint, rank int, cand_id bigint, dist double"
-    return queries.mapInArrow(run, ddl + _ddl(carry))
+    return spread(queries).mapInArrow(run, ddl + _ddl(carry))
 
 
 def _ddl(carry) -> str:

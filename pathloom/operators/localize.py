@@ -16,7 +16,7 @@ from pathloom.operators import blocks as B
 from pathloom.operators.evaluate import exact_percentiles
 from pathloom.operators.knn import BLOCK_ROWS, LOCAL_BYTES, LOCAL_ROWS, knn_join
 from pathloom.operators.skew import salted_lookup
-from pathloom.session import fresh, materialize
+from pathloom.session import fresh, materialize, spread
 
 # fixed hyper-parameter grids
 WKNN_K = list(range(1, 26))
@@ -262,7 +262,7 @@ def radius_topk(
                     for r in radii:
                         yield from _pool_topk(cols, shared.value, r, k).to_batches()
 
-        parts = q.mapInArrow(stream, _POOL)
+        parts = spread(q).mapInArrow(stream, _POOL)
     else:
         rows = min(block_rows, max(LOCAL_BYTES // (8 * max(width, 1)), 1))
         parts = None

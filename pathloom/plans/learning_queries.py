@@ -142,7 +142,7 @@ def chart_study(spark, d):
 
 
 # ---------------------------------------------------------------- pipeline
-def localization_pipeline(spark, d):
+def paths_to_position(spark, d):
     """Raw paths to positioning metrics: links, imputation, fingerprints, scaling, weights, wKNN."""
     groups = ["aoa", "rss"]
     fp = FT.build_fingerprints(C.event_paths(spark, d), C.event_rx(spark, d), C.N_TX, groups)
@@ -170,7 +170,7 @@ QUERIES = {
     for f in (
         explained_variance, pca_two_columns, pca_chart, pca_distances, pca_whiten, wknn_whitened, cmds_chart,
         feature_image, nn_regression, nn_regression_plain, nn_classification, cnn_regression, autoencoder_chart,
-        manifold_charts, tsne_sweep, umap_sweep, chart_study, localization_pipeline, chart_from_pca,
+        manifold_charts, tsne_sweep, umap_sweep, chart_study, paths_to_position, chart_from_pca,
     )
 }
 
@@ -182,7 +182,7 @@ ORACLES = {
         SELECT id, {q('sum((v-mu)*(v-mu))', 'r2')} FROM u JOIN m USING (dim) GROUP BY id""",
     "feature_image": f"""WITH {PT}, u AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS dim FROM points)
         SELECT id, CAST(dim // 7 AS INTEGER) AS tx, CAST(count(*) AS INTEGER) AS width, {q('sum(v)', 'total')} FROM u WHERE dim < 63 GROUP BY id, dim // 7""",
-    "localization_pipeline": f"""WITH {P}, {RX}, {_LINKS}, {_GRID},
+    "paths_to_position": f"""WITH {P}, {RX}, {_LINKS}, {_GRID},
         s AS (SELECT tx_id, min(rss) AS r FROM grid WHERE reached GROUP BY tx_id),
         lg AS (SELECT g.rx_id, g.tx_id, CASE WHEN reached THEN rss ELSE coalesce(s.r - 10, -200) END AS rss, coalesce(sin_az, 0) AS sin_az, coalesce(cos_az, 0) AS cos_az,
           coalesce(sin_el, 0) AS sin_el, coalesce(cos_el, 0) AS cos_el FROM grid g LEFT JOIN s USING (tx_id)),

@@ -255,7 +255,7 @@ def trustworthiness(spark, d):
 
 def trustworthiness_doubled(spark, d):
     """The doubled-penalty variant that counts a point among its own neighbours."""
-    return publish(CH.trustworthiness_continuity(_chart(spark, d), 10, mode="reference"))
+    return publish(CH.trustworthiness_continuity(_chart(spark, d), 10, mode="doubled"))
 
 
 def kruskal_stress(spark, d):

@@ -66,3 +66,14 @@ def materialize(df: DataFrame) -> DataFrame:
 def fresh(df: DataFrame) -> DataFrame:
     """Re-alias every column, so that two frames of one origin can be co-grouped."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Hash rows over at least as many partitions as there are cores, more for large inputs.
+
+    For work that costs far more per row than moving the row, so that a table read as a few
+    splits still uses the whole cluster.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(cores, min(size >> 27, 4 * cores)), key)

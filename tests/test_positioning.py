@@ -233,7 +233,7 @@ def test_chart_metrics(spark, plan):
                 r[i, j] = pos + 1
         return r
 
-    for mode, own in (("standard", False), ("reference", True)):
+    for mode, own in (("standard", False), ("doubled", True)):
         rh, rl = ranks(dh, own), ranks(dl, own)
         off = np.eye(n, dtype=bool) & (not own)
         sc = lambda a, b: (np.where(b == n, 0, b) - k if own else b - k)[(a <= k) & (b > k) & ~off].sum()
