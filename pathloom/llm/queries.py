@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, exact_dedup, packing, token_counts
+from pathloom.llm import decontaminate, exact_dedup, near_dedup, packing, secret_scan, sharding, token_counts, url_filter
 from pathloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def list_history(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """Dated list entries: what happened to a user's page puts its host, or at times its parent domain, on or off a list."""
+    kinds = {"error": ("block", "add"), "signup": ("block", "remove"), "purchase": ("allow", "add"), "view": ("allow", "remove")}
+    which = F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v[0])])
+    action = F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v[1])])
+    hosts = pages.select(F.col("page_id").alias("user_id"), url_filter.host_of(F.col("url")).alias("host"))
+    parent = F.regexp_replace("host", r"^[^.]+\.", "")
+    return events.join(hosts, "user_id").select(
+        F.col("event_id").alias("entry_id"),
+        which[F.col("event_type")].alias("list"),
+        F.when(F.col("event_id") % 7 == 0, parent).otherwise(F.col("host")).alias("pattern"),
+        F.col("ts").alias("listed_at"),
+        action[F.col("event_type")].alias("action"),
+    )
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of ``pages`` as fetched at the time of the event of its number, if there is one."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    fetched = events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched_at"))
+    return url_filter.evaluate(pages.join(fetched, "page_id", "left"), list_history(pages, events))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source owns a document; its repositories are one for each language."""
+    return secret_scan.scan(documents(spark, sf_dir), F.col("source"), F.col("lang"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -24,18 +54,91 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir), words=4, percent=80)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_plan(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(documents(spark, sf_dir), benchmark)
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_token_counts, op5_exact_dedup, op6_packing, op10_decontamination)
+    f.__name__: f for f in (op2_token_counts, op3_url_filter, op4_secret_scan, op5_exact_dedup, op6_packing, op7_near_dedup, op8_sharding, op10_decontamination)
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+HOST = r"nullif(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([a-z0-9.-]+?)\.?(?::[0-9]*)?(?:[/?#].*)?$', 1), '')"
+
+ASSIGN = (
+    "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    """[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def _spans_sql(kind: int, pattern: str, group: int) -> str:
+    """Spans of one pattern with their places, from the lengths of the pieces around the matches."""
+    return f"""
+        SELECT row, doc_id, owner, repository, {kind} AS kind, v,
+               sum(length(b) + length(w)) OVER (PARTITION BY row ORDER BY i) - length(w) AS s,
+               sum(length(b) + length(w)) OVER (PARTITION BY row ORDER BY i) AS e
+        FROM (SELECT row, doc_id, owner, repository, unnest(regexp_extract_all(t, '{pattern}')) AS w,
+                     unnest(regexp_extract_all(t, '{pattern}', {group})) AS v,
+                     unnest(list_slice(string_split_regex(t, '{pattern}'), 1, len(regexp_extract_all(t, '{pattern}')))) AS b,
+                     unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i FROM d)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op3_url_filter": f"""
+        WITH h AS (SELECT page_id, {HOST} AS host FROM pages),
+        c AS (SELECT page_id, host, ts AS fetched_at FROM h LEFT JOIN events ON event_id = page_id),
+        e AS (
+            SELECT CASE WHEN event_type IN ('error', 'signup') THEN 'block' ELSE 'allow' END AS list,
+                   CASE WHEN event_id % 7 = 0 THEN regexp_replace(host, '^[^.]+\\.', '') ELSE host END AS pattern,
+                   ts, event_id, event_type IN ('error', 'purchase') AS adds
+            FROM events JOIN h ON page_id = user_id WHERE event_type <> 'click' AND host IS NOT NULL),
+        last AS (SELECT list, pattern, ts, arg_max(adds, event_id) AS adds FROM e GROUP BY ALL),
+        v AS (SELECT *, lead(ts) OVER (PARTITION BY list, pattern ORDER BY ts) AS till FROM last),
+        j AS (
+            SELECT page_id, list, pattern FROM c JOIN v ON adds AND ts <= fetched_at AND (till IS NULL OR fetched_at < till)
+                AND (host = pattern OR ends_with(host, '.' || pattern)) AND contains(pattern, '.')),
+        a AS (
+            SELECT page_id, count(*) AS n_active, arg_max(pattern, length(pattern)) FILTER (list = 'block') AS block_pattern,
+                   arg_max(pattern, length(pattern)) FILTER (list = 'allow') AS allow_pattern
+            FROM j GROUP BY page_id)
+        SELECT page_id, host, fetched_at, coalesce(n_active, 0)::BIGINT AS n_active, block_pattern, allow_pattern,
+               CASE WHEN fetched_at IS NULL OR host IS NULL OR NOT contains(host, '.') THEN 'unknown'
+                    WHEN length(block_pattern) > coalesce(length(allow_pattern), 0) THEN 'block' ELSE 'pass' END AS verdict
+        FROM c LEFT JOIN a USING (page_id)
+    """,
+    "op4_secret_scan": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, source AS owner, lang AS repository, coalesce(text, '') AS t FROM documents),
+        found AS (
+            SELECT * FROM ({_spans_sql(0, ASSIGN, 1)}) WHERE length(v) >= 8
+            UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]{12,}", 0)} UNION ALL {_spans_sql(2, "[0-9a-f]{32,}", 0)}),
+        owners AS (SELECT v, count(DISTINCT owner) AS n FROM found GROUP BY v),
+        spans AS (
+            SELECT row, kind, s, e FROM found
+            UNION ALL
+            SELECT DISTINCT row, 3, e - length(v), e FROM found JOIN owners USING (v)
+            WHERE n = 1 AND len(list_distinct(string_split(v, ''))) >= 6
+            UNION ALL
+            SELECT DISTINCT row, 4, e - length(v), e FROM found JOIN owners USING (v) WHERE n > 1),
+        named AS (
+            SELECT *, ['assign', 'access', 'hex', 'live', 'copied'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS x FROM spans)
+        SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+               count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live, count(*) FILTER (kind = 4) AS n_copied,
+               sha256(coalesce(string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+               coalesce(string_agg(x, ',' ORDER BY s, kind), '') AS spans
+        FROM d LEFT JOIN named USING (row) GROUP BY row, doc_id
+    """,
     "op5_exact_dedup": f"""
         WITH h AS (SELECT doc_id, sha256({LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
