@@ -7,17 +7,25 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import decontaminate, exact_dedup, packing
+from pathloom.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from pathloom.llm.common import documents
 from pathloom.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_copies(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -27,7 +35,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("packing", pack_sequences),
 ]

@@ -99,3 +99,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def keep_columns(docs: DataFrame, *added: str) -> list[str]:
     """Columns of the input that do not clash with what an operator adds."""
     return [c for c in docs.columns if c not in added]
+
+
+def bounded_sample(frame: DataFrame, key: Column, rows: int, of: int, spare: int = 4) -> DataFrame:
+    """``rows`` rows at most, those with the least hash of ``key``; the same ones for any partitioning.
+
+    ``of``: how many rows ``frame`` has about. A share of ``spare`` times the rows wanted is taken by hash first, so
+    that each task hands on few rows.
+    """
+    share = min(1.0, spare * rows / max(1, of))
+    h = F.xxhash64(F.lit(7), key)
+    bound = min(int((share * 2 - 1) * 2**63), 2**63 - 1)
+    return frame.withColumn("_h", h).filter(F.col("_h") <= F.lit(bound)).orderBy("_h", key).limit(rows).drop("_h")

@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, exact_dedup, near_dedup, packing, secret_scan, sharding, token_counts, url_filter
+from pathloom.llm import (
+    decontaminate,
+    exact_dedup,
+    near_dedup,
+    packing,
+    pii,
+    secret_scan,
+    sharding,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from pathloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -62,13 +77,29 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(documents(spark, sf_dir), benchmark)
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_token_counts, op3_url_filter, op4_secret_scan, op5_exact_dedup, op6_packing, op7_near_dedup, op8_sharding, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_token_counts,
+        op3_url_filter,
+        op4_secret_scan,
+        op5_exact_dedup,
+        op6_packing,
+        op7_near_dedup,
+        op8_sharding,
+        op9_pii,
+        op10_decontamination,
+    )
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
