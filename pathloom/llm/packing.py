@@ -5,8 +5,8 @@ largest first. Each piece is a sequence of its own; sequences of equal length fo
 one shape are read. All of it is one pass over the documents; nothing shuffles. Sequence numbers are unique but not
 gapless; they hold for one evaluation, so write the result before using them twice.
 
-The library encodes each distinct stretch between single spaces once for a worker: this vocabulary's pre-tokens never
-hold a space after another character, so a text's ids are those of its stretches in turn. The memory of stretches is
+The library encodes each distinct stretch between single spaces or line feeds once for a worker: this vocabulary's pre-tokens never
+hold white space after another character, so a text's ids are those of its stretches in turn. The memory of stretches is
 bounded and starts anew when full.
 
 Defined cases: null and empty texts have the end id alone, one piece of length 1; a repeated row is packed as often as it occurs;
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +30,25 @@ from pathloom.llm.common import blocks
 
 SEQUENCE = 2048
 END_ID = 1
-MEMORY_STRETCHES = 250_000
+MEMORY_STRETCHES = 700_000
 LONGEST_STRETCH = 64
 #: a place where one pre-token ends for certain: one space between other characters
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-ODD = re.compile(r"\s\s| [^\S ]|[^\S ] ")
+#: where a text holds one of these it is cut with care: white space next to white space, or other than space and line feed
+ODD = ["  ", "\n\n", " \n", "\n ", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+ODD_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def stretches(text: str) -> list[str]:
-    """Pieces that the library encodes independently; joined they are the text."""
-    if ODD.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return BETWEEN.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    """Pieces that the library encodes independently, each without the space before it.
+
+    A piece that has no space before it begins with a line feed, or with NUL, which is not part of it.
+    """
+    odd = any(x in text for x in ODD) or text[:1].isspace() or text[-1:].isspace()
+    if odd or not text.isascii() and ODD_BLANK.search(text):
+        first, *rest = BETWEEN.split(text)
+        return ["\0" + first, *[x[1:] if x[0] == " " else "\0" + x for x in rest]]
+    return ("\0" + text).replace("\n", " \n").split(" ")
 
 
 class StretchEncoder:
@@ -58,12 +65,16 @@ class StretchEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY_STRETCHES:
             self.known.clear()
-        cut = [stretches(t) if t else [] for t in texts]
-        new = list({s for x in cut for s in x if s not in self.known})
+        cut = [stretches(t) for t in texts]
+        found = [list(map(self.known.get, x)) for x in cut]
+        new = list({s for x, y in zip(cut, found) if None in y for s, v in zip(x, y) if v is None})
         if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(new, encoded))
-        out = [b"".join(map(self.known.__getitem__, x)) for x in cut]
+            # a line feed or NUL marks that no space belongs before a piece
+            plain = [s if s[:1] == "\n" else s[1:] if s[:1] == "\0" else " " + s for s in new]
+            encoded = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
+            self.known.update((s, array("I", e.ids).tobytes()) for s, e in zip(new, encoded))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, x) if None in y else y) for x, y in zip(cut, found)]
         for s in new:
             if len(s) > LONGEST_STRETCH:
                 del self.known[s]
