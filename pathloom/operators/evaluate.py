@@ -10,6 +10,7 @@ from pathloom.functions import expr as X
 from pathloom.session import materialize
 
 MAX_GROUPS = 10_000  # group labels that may be broadcast
+ROWS_PER_RANGE = 1_000_000  # rows of a range that one task sorts
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -17,6 +18,26 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS else df
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` up to and with each row, by ``order`` within ``keys``; equal orders must not repeat.
+
+    Rows are cut into ranges, as many as the row count asks for; a running sum inside a range is completed
+    by the totals of the ranges before it, so a key of any size spreads over many tasks.
+    """
+    rows = materialize(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_RANGE))
+    cut = materialize(rows.repartitionByRange(parts, *keys, order).withColumn("_k", F.spark_partition_id()))
+    per = cut.groupBy(*keys, "_k").agg(F.sum(value).alias("_s"))
+    before = W.partitionBy(*keys).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per.select(*keys, "_k", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*keys, "_k").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        cut.withColumn("_in", F.sum(value).over(inside))
+        .join(offsets, [*keys, "_k"])
+        .select(*df.columns, (F.col("_off") + F.col("_in")).alias(name))
+    )
+
+
 def exact_percentiles(
     df: DataFrame, groups: list[str], value: str, probs: list[float], accuracy: int = 10_000
 ) -> DataFrame:
@@ -65,8 +86,7 @@ def exact_percentiles(
         .groupBy(*groups, "i", "v")
         .agg(F.count("*").alias("c"))
     )
-    w = W.partitionBy(*groups, "i").orderBy(F.col("v").asc_nulls_first())
-    cum = counts.withColumn("cum", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    cum = running_sum(counts, [*groups, "i"], "v", "c", "cum")
     cum = cum.join(targets.select(*groups, "i", "r"), [*groups, "i"])
     lo_rank = F.floor("r")
     picked = cum.groupBy(*groups, "i").agg(
@@ -105,33 +125,14 @@ def error_metrics(pred: DataFrame, *groups: str, err: str = "err") -> DataFrame:
 def error_cdf(pred: DataFrame, *groups: str, err: str = "err") -> DataFrame:
     """Empirical CDF: one row per distinct error with its multiplicity and cumulative share.
 
-    The order is built from value buckets (sketch quantiles, as many as the shuffle has
-    partitions): running counts inside a bucket plus the totals of the buckets before it,
-    so no window covers a whole group.
+    No window covers a whole group: see ``running_sum``.
     """
-    spark = pred.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    levels = max(3, min(10, parts.bit_length()))
-    cuts = [i / (1 << levels) for i in range(1, 1 << levels)]
     g = list(groups)
-    counts = materialize(pred.groupBy(*g, F.col(err).alias("err")).agg(F.count("*").alias("n_tied")))
-    bounds = counts.groupBy(*g).agg(F.percentile_approx("err", cuts, 10_000).alias("_b"))
-    bounds = _small(materialize(bounds))
-    placed = counts.join(bounds, g).withColumn("_k", X.sorted_position(F.col("err"), F.col("_b"), levels)).drop("_b")
-    per = placed.groupBy(*g, "_k").agg(F.sum("n_tied").alias("_s"))
-    before = W.partitionBy(*g).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per.select(
-        *g,
-        "_k",
-        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
-        F.sum("_s").over(W.partitionBy(*g)).alias("_n"),
-    )
-    inside = W.partitionBy(*g, "_k").orderBy("err").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        placed.withColumn("_c", F.sum("n_tied").over(inside))
-        .join(offsets, [*g, "_k"])
-        .select(*g, "err", "n_tied", ((F.col("_off") + F.col("_c")) / F.col("_n")).alias("cdf"))
-    )
+    counts = pred.groupBy(*g, F.col(err).alias("err")).agg(F.count("*").alias("n_tied"))
+    running = running_sum(counts, g, "err", "n_tied", "_c")
+    totals = running.groupBy(*g).agg(F.max("_c").alias("_n"))
+    placed = running.join(totals, g) if g else running.crossJoin(F.broadcast(totals))
+    return placed.select(*g, "err", "n_tied", (F.col("_c") / F.col("_n")).alias("cdf"))
 
 
 def percent_within(pred: DataFrame, limits: list[float], *groups: str) -> DataFrame:
@@ -140,6 +141,12 @@ def percent_within(pred: DataFrame, limits: list[float], *groups: str) -> DataFr
     )
 
 
+def grid_shape(points: DataFrame, x0: float, y0: float, step: float) -> tuple[int, int]:
+    """How many cells from the origin cover all points, in x and y."""
+    top = points.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    return tuple(max(1, int((v - o) // step) + 1) if v is not None else 1 for v, o in ((top["x"], x0), (top["y"], y0)))
+
+
 def error_heatmap(pred: DataFrame, x0: float, y0: float, step: float, nx: int, ny: int, *groups: str) -> DataFrame:
     """Mean error per map cell (left-closed cells); every cell of the grid appears, empty ones NULL."""
     cells = pred.groupBy(

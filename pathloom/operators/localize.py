@@ -29,11 +29,12 @@ CV_FOLDS = 5
 
 # ---------------------------------------------------------------- splits
 def split_random(df: DataFrame, test_fraction: float = 0.3, seed: int = 42) -> DataFrame:
-    """Pseudo-random row-wise split: a seeded id hash below the fraction is test.
+    """Pseudo-random row-wise split: a seeded id hash (the first 32 bits of an MD5) below the fraction is test.
 
     Deterministic per id, so it needs no sort, no shuffle and no shared state.
     """
-    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     return df.withColumn("is_test", u < test_fraction)
 
 

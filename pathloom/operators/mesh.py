@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.functions import expr as X
+from pathloom.operators.evaluate import running_sum
 
 FACES = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "ijk"]))
 
@@ -196,28 +197,15 @@ def ground_plane(points: DataFrame, pad: float = 5.0) -> DataFrame:
 
 
 # ---------------------------------------------------------------- names
-def number_duplicates(df: DataFrame, name: str, order: str, buckets: int = 256) -> DataFrame:
+def number_duplicates(df: DataFrame, name: str, order: str) -> DataFrame:
     """Append _002, _003, ... to repeated names, in ``order`` (a numeric, unique column).
 
-    A name may be very common, so it is not numbered in one window: rows are cut into
-    order buckets, numbered inside (name, bucket), and offset by the earlier buckets.
+    A name may be very common, so it is not numbered in one window but by a running count over ranges.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.agg(F.percentile_approx(order, cuts, 10_000)).first()[0] or []))
-    bucket = F.lit(0)
-    if bounds:
-        levels = len(bounds).bit_length()
-        padded = F.lit([float(b) for b in bounds] + [float("inf")] * ((1 << levels) - 1 - len(bounds)))
-        bucket = X.sorted_position(F.col(order), padded, levels)
-    d = df.withColumn("_b", bucket)
-    per = d.groupBy(name, "_b").agg(F.count("*").alias("_n"))
-    off = F.sum("_n").over(W.partitionBy(name).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    per = per.select(name, "_b", F.coalesce(off, F.lit(0)).alias("_off"))
-    pos = F.row_number().over(W.partitionBy(name, "_b").orderBy(order)) + F.col("_off")
-    out = d.join(per, [name, "_b"]).withColumn("_pos", pos)
+    out = running_sum(df.withColumn("_one", F.lit(1)), [name], order, "_one", "_pos")
     suffix = F.concat(F.lit("_"), F.lpad(F.col("_pos").cast("string"), 3, "0"))
     long = F.concat(F.lit("_"), F.col("_pos").cast("string"))
     numbered = F.when(F.col("_pos") == 1, F.col(name)).otherwise(
         F.concat(name, F.when(F.col("_pos") < 1000, suffix).otherwise(long))
     )
-    return out.withColumn("name", numbered).drop("_b", "_off", "_pos")
+    return out.withColumn("name", numbered).drop("_one", "_pos")

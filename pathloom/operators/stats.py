@@ -228,6 +228,12 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, *keys:
     )
 
 
+def width_histogram(df: DataFrame, value: str, lo: float, width: float, *keys: str) -> DataFrame:
+    """Counts by bins of one width from ``lo`` on, as many bins as the values reach."""
+    b = F.floor((F.col(value) - lo) / width).cast("int")
+    return df.filter(F.col(value) >= lo).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def auto_histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Histogram between the observed extremes. Reads its input twice: pass a materialised frame."""
     bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()

@@ -94,7 +94,8 @@ def nn_regression_plain(spark, d):
 
 def nn_classification(spark, d):
     train, test = _scaled(spark, d)
-    out = NN.classify_positions(train, test, -1.25, -1.25, 10.0, 7, 22, 40)
+    nx, ny = EV.grid_shape(_points(spark, d), -1.25, -1.25, 10.0)
+    out = NN.classify_positions(train, test, -1.25, -1.25, 10.0, nx, ny)
     return publish(out.withColumn("correct", F.col("correct").cast("int")))
 
 
@@ -108,25 +109,8 @@ def autoencoder_chart(spark, d):
 
 
 # ---------------------------------------------------------------- layouts
-def manifold_charts(spark, d):
-    """Five iterative layouts, fitted in parallel."""
-    p = materialize(MF.preprocess(LZ.standardize(_points(spark, d))))
-    runs = [("t-SNE", "tsne", {"perplexity": 30}), ("UMAP", "umap", {"n_neighbors": 5}), ("MDS", "mds", {}), ("Isomap", "isomap", {}), ("LE", "laplacian", {})]
-    return publish(MF.fit_layouts(p, runs))
-
-
-def tsne_sweep(spark, d):
-    p = materialize(MF.preprocess(LZ.standardize(_points(spark, d))))
-    return publish(MF.sweep(p, "tsne", [5, 15, 30, 50], "perplexity"))
-
-
-def umap_sweep(spark, d):
-    p = materialize(MF.preprocess(LZ.standardize(_points(spark, d))))
-    return publish(MF.sweep(p, "umap", [5, 10, 20, 30], "n_neighbors"))
-
-
-def chart_study(spark, d):
-    """Twelve charts over three input representations of the event fingerprints."""
+def _study_inputs(spark, d):
+    """Three representations of the event fingerprints."""
     fp = materialize(FT.build_fingerprints(C.event_paths(spark, d), C.event_rx(spark, d), C.N_TX, ["ofdm_mag_gd", "tdoa", "aoa"], AXIS))
     n = 2 * (AXIS["fft_size"] // AXIS["step"]) - 1
     blocks = fp.select("rx_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(C.N_TX - 1)), lambda i: F.slice("f_ofdm", i * n + 1, n))).alias("tx_id", "ofdm"))
@@ -138,7 +122,17 @@ def chart_study(spark, d):
         "Cov": materialize(LZ.standardize(gram)),
         "Feat": materialize(LZ.standardize(FT.to_vector(fp, ["tdoa", "aoa"]))),
     }
-    return publish(MF.chart_study(inputs))
+    return inputs
+
+
+def chart_study(spark, d):
+    """The linear charts of the study over three input representations of the event fingerprints."""
+    return publish(MF.chart_study(_study_inputs(spark, d)))
+
+
+def best_chart(spark, d):
+    """The chart of the study that keeps neighbourhoods best."""
+    return publish(MF.best_chart(MF.study_scores(_study_inputs(spark, d))))
 
 
 # ---------------------------------------------------------------- pipeline
@@ -170,7 +164,7 @@ QUERIES = {
     for f in (
         explained_variance, pca_two_columns, pca_chart, pca_distances, pca_whiten, wknn_whitened, cmds_chart,
         feature_image, nn_regression, nn_regression_plain, nn_classification, cnn_regression, autoencoder_chart,
-        manifold_charts, tsne_sweep, umap_sweep, chart_study, paths_to_position, chart_from_pca,
+        chart_study, best_chart, paths_to_position, chart_from_pca,
     )
 }
 

@@ -69,7 +69,7 @@ def data_quality(spark, d):
 
 
 def delay_histogram(spark, d):
-    return S.histogram(C.event_paths(spark, d), "delay_ns", 0.0, 500.0, 50, "tx_id")
+    return S.width_histogram(C.event_paths(spark, d), "delay_ns", 0.0, 10.0, "tx_id")
 
 
 def azimuth_histogram(spark, d):
@@ -174,11 +174,10 @@ def departure_angles(spark, d):
     az, el = X.aod_deg(
         F.col("is_first"), x - tx, y - ty, F.lit(1.25 - 19.0), F.col("az_deg"), F.col("el_deg") - 90.0
     )
-    # azimuth is meaningless straight up or down, and +180 equals -180
-    return publish(
-        j.filter("el_deg > 0 and el_deg < 180 and abs(az_deg) > 0")
-        .select("rx_id", "tx_id", "path_id", az.alias("az_aod"), el.alias("el_aod"))
-    )
+    # straight up or down there is no azimuth, so it is 0, and -180 is given as 180
+    out = publish(j.select("rx_id", "tx_id", "path_id", az.alias("az_aod"), el.alias("el_aod")))
+    one = F.when(F.abs("el_aod") >= 90, 0.0).when(F.col("az_aod") <= -180, 180.0).otherwise(F.col("az_aod"))
+    return out.withColumn("az_aod", one)
 
 
 def geometry_delay(spark, d):
@@ -278,8 +277,8 @@ ORACLES = {
           FROM slots GROUP BY 1, 2)
         SELECT tx_id, count(*) AS reached_rx, {q('avg(np)', 'mean_paths')}, max(np) AS max_paths, min(np) AS min_paths,
           CAST(0 AS BIGINT) AS nan_values, CAST(sum(nz) AS BIGINT) AS zero_amps FROM per GROUP BY tx_id""",
-    "delay_histogram": f"""WITH {P} SELECT tx_id, CAST(least(floor(delay_ns / 10.0::DOUBLE), 49) AS INTEGER) AS bin, count(*) AS n
-        FROM paths WHERE delay_ns >= 0 AND delay_ns <= 500 GROUP BY 1, 2""",
+    "delay_histogram": f"""WITH {P} SELECT tx_id, CAST(floor(delay_ns / 10.0::DOUBLE) AS INTEGER) AS bin, count(*) AS n
+        FROM paths WHERE delay_ns >= 0 GROUP BY 1, 2""",
     "azimuth_histogram": f"""WITH {P} SELECT CAST(least(floor((az_deg + 180) / 5.0::DOUBLE), 71) AS INTEGER) AS bin, count(*) AS n
         FROM paths GROUP BY 1""",
     "spread_histogram": f"""WITH {P}, {_PW}, {_spread('rx_id, tx_id', 'rx_id, tx_id')},
@@ -324,10 +323,10 @@ ORACLES = {
     "departure_angles": f"""WITH {P}, g AS (SELECT *, row_number() OVER (PARTITION BY rx_id, tx_id ORDER BY delay_ns, path_id) = 1 AS los,
             (rx_id % 25)*2.5::DOUBLE - 47.5 - (tx_id*20.0::DOUBLE - 40) AS dx, (rx_id // 25)*2.5::DOUBLE - 60.0 - (tx_id * -15.0::DOUBLE + 30) AS dy,
             -17.75::DOUBLE AS dz, radians(az_deg) AS a, radians(el_deg - 90) AS e FROM paths)
-        SELECT rx_id, tx_id, path_id,
+        , o AS (SELECT rx_id, tx_id, path_id,
           {q('degrees(CASE WHEN los THEN atan2(dy, dx) ELSE atan2(-cos(e)*sin(a), -cos(e)*cos(a)) END)', 'az_aod')},
           {q('degrees(CASE WHEN los THEN asin(dz / sqrt(dx*dx+dy*dy+dz*dz)) ELSE asin(greatest(-1, least(1, -sin(e)))) END)', 'el_aod')}
-        FROM g WHERE el_deg > 0 AND el_deg < 180 AND abs(az_deg) > 0""",
+        FROM g) SELECT rx_id, tx_id, path_id, CASE WHEN abs(el_aod) >= 90 THEN 0 WHEN az_aod <= -180 THEN 180 ELSE az_aod END AS az_aod, el_aod FROM o""",
     "geometry_delay": f"""WITH {RX}, g AS (SELECT rx_id, CAST(t.tx_id AS INTEGER) AS tx_id, x, y, sqrt(pow(x - (t.tx_id*20.0::DOUBLE-40), 2) +
             pow(y - (t.tx_id * -15.0::DOUBLE + 30), 2) + 17.75::DOUBLE*17.75::DOUBLE) AS dist FROM rx CROSS JOIN range(0,5) t(tx_id))
         SELECT rx_id, tx_id, {q('dist / 299792458.0::DOUBLE / 1e-9', 'delay_ns')}, {q('20.0::DOUBLE*log10(1.0::DOUBLE/dist + 1e-20)', 'gain_db')},

@@ -34,9 +34,9 @@ def _nb(spark, d, k, **kw):
 
 # ---------------------------------------------------------------- splits and scaling
 def split_random(spark, d):
-    """The hash split: sizes and the id ranges of both sides."""
+    """The hash split, side by side with the same hash in SQL."""
     s = LZ.split_random(_points(spark, d))
-    return s.groupBy("is_test").agg(F.count("*").alias("n"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+    return s.select("id", F.col("is_test").cast("int").alias("is_test"))
 
 
 def split_mod(spark, d):
@@ -76,20 +76,26 @@ def group_weights(spark, d):
     )
 
 
+def _cells(p):
+    """Cell of every point and the number of cells in x; the grid covers all points."""
+    nx, ny = EV.grid_shape(p, -1.25, -1.25, 5.0)
+    xi, yi = X.grid_index(F.col("x"), -1.25, 5.0, nx), X.grid_index(F.col("y"), -1.25, 5.0, ny)
+    return p.select("id", (xi + yi * nx).alias("cell")), nx
+
+
 def grid_cells(spark, d):
-    p = _points(spark, d)
-    xi, yi = X.grid_index(F.col("x"), -1.25, 5.0, 12), X.grid_index(F.col("y"), -1.25, 5.0, 10)
-    return p.select("id", (xi + yi * 12).alias("cell"))
+    return _cells(_points(spark, d))[0]
 
 
 def cell_centroids(spark, d):
-    g = grid_cells(spark, d).groupBy("cell").agg(F.count("*").alias("n"))
+    cells, nx = _cells(_points(spark, d))
+    g = cells.groupBy("cell").agg(F.count("*").alias("n"))
     return publish(
         g.select(
             "cell",
             "n",
-            X.cell_centre(F.pmod("cell", F.lit(12)), -1.25, 5.0).alias("cx"),
-            X.cell_centre(F.floor(F.col("cell") / 12), -1.25, 5.0).alias("cy"),
+            X.cell_centre(F.pmod("cell", F.lit(nx)), -1.25, 5.0).alias("cx"),
+            X.cell_centre(F.floor(F.col("cell") / nx), -1.25, 5.0).alias("cy"),
         )
     )
 
@@ -199,7 +205,8 @@ def error_cdf(spark, d):
 
 
 def error_heatmap(spark, d):
-    return publish(EV.error_heatmap(_errors(spark, d), -1.25, -1.25, 5.0, 13, 12, "method"))
+    nx, ny = EV.grid_shape(_points(spark, d), -1.25, -1.25, 5.0)
+    return publish(EV.error_heatmap(_errors(spark, d), -1.25, -1.25, 5.0, nx, ny, "method"))
 
 
 def pct_within(spark, d):
@@ -398,7 +405,11 @@ QUERIES = {
     )
 }
 
+_SHAPE = "shape AS (SELECT CAST(floor((max(x)+1.25)/5) AS INTEGER) + 1 AS nx, CAST(floor((max(y)+1.25)/5) AS INTEGER) + 1 AS ny FROM points)"
+_CELL = "CAST(floor((x+1.25)/5) + nx*floor((y+1.25)/5) AS INTEGER)"
+
 ORACLES = {
+    "split_random": "SELECT vec_id AS id, CAST(CAST('0x' || substr(md5(vec_id::VARCHAR || ':42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3 AS INTEGER) AS is_test FROM embeddings",
     "split_mod": f"WITH {PT} SELECT is_test, fold, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_id FROM points GROUP BY is_test, fold",
     "split_checkerboard": f"WITH {PT} SELECT id, CAST((id % 25 + id // 25) % 2 AS INTEGER) AS is_test FROM points",
     "split_block": f"""WITH {PT}, c AS (SELECT quantile_cont(x + y, 0.7) AS cut FROM points)
@@ -410,9 +421,9 @@ ORACLES = {
     "group_weights": f"""WITH {PT}, u AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS d FROM points)
         SELECT id, {q('sum(CASE WHEN d < 32 THEN v*v/32 ELSE 0 END)', 'g0')}, {q('sum(CASE WHEN d >= 32 AND d < 48 THEN v*v/16 ELSE 0 END)', 'g1')},
           {q('sum(CASE WHEN d >= 48 AND d < 56 THEN v*v/8 ELSE 0 END)', 'g2')}, {q('sum(CASE WHEN d >= 56 THEN v*v ELSE 0 END)', 'tail')} FROM u GROUP BY id""",
-    "grid_cells": f"""WITH {PT} SELECT id, CAST(greatest(0, least(11, floor((x+1.25)/5))) + 12*greatest(0, least(9, floor((y+1.25)/5))) AS INTEGER) AS cell FROM points""",
-    "cell_centroids": f"""WITH {PT}, c AS (SELECT CAST(greatest(0, least(11, floor((x+1.25)/5))) + 12*greatest(0, least(9, floor((y+1.25)/5))) AS INTEGER) AS cell FROM points)
-        SELECT cell, count(*) AS n, {q('-1.25::DOUBLE + (cell % 12)*5.0::DOUBLE + 2.5', 'cx')}, {q('-1.25::DOUBLE + (cell // 12)*5.0::DOUBLE + 2.5', 'cy')} FROM c GROUP BY cell""",
+    "grid_cells": f"""WITH {PT}, {_SHAPE} SELECT id, {_CELL} AS cell FROM points, shape""",
+    "cell_centroids": f"""WITH {PT}, {_SHAPE}, c AS (SELECT {_CELL} AS cell, nx FROM points, shape)
+        SELECT cell, count(*) AS n, {q('-1.25::DOUBLE + (cell % nx)*5.0::DOUBLE + 2.5', 'cx')}, {q('-1.25::DOUBLE + (cell // nx)*5.0::DOUBLE + 2.5', 'cy')} FROM c GROUP BY cell, nx""",
     "knn_topk": f"WITH {PT}, {_NN} SELECT query_id, rank, cand_id, {qs('dist')} FROM nn WHERE rank <= 5",
     "knn_cosine": f"""WITH {PT}, nn AS (SELECT t.id AS query_id, c.id AS cand_id, 1 - list_cosine_similarity(t.vec, c.vec) AS dist,
           CAST(row_number() OVER (PARTITION BY t.id ORDER BY 1 - list_cosine_similarity(t.vec, c.vec), c.id) AS INTEGER) AS rank
@@ -478,8 +489,8 @@ ORACLES = {
     "path_percentiles": f"WITH {C.LINEITEM_SQL}, e AS (SELECT tx_id, amp * 1e6 AS err FROM paths) SELECT tx_id, {_pct()} FROM e GROUP BY tx_id",
     "error_cdf": f"""WITH {PT}, {_MEMB}, e AS (SELECT method, {q('err', 'err')} FROM errs), c AS (SELECT method, err, count(*) AS n_tied FROM e GROUP BY method, err)
         SELECT method, {q('err', 'err')}, n_tied, {q('sum(n_tied) OVER (PARTITION BY method ORDER BY c.err) / sum(n_tied) OVER (PARTITION BY method)', 'cdf')} FROM c""",
-    "error_heatmap": f"""WITH {PT}, {_MEMB}, c AS (SELECT method, CAST(greatest(0, least(12, floor((x+1.25)/5))) AS INTEGER) AS xi, CAST(greatest(0, least(11, floor((y+1.25)/5))) AS INTEGER) AS yi,
-          avg(err) AS m, count(*) AS n FROM errs GROUP BY 1, 2, 3), g AS (SELECT DISTINCT method, CAST(a.a AS INTEGER) AS xi, CAST(b.b AS INTEGER) AS yi FROM errs CROSS JOIN range(0,13) a(a) CROSS JOIN range(0,12) b(b))
+    "error_heatmap": f"""WITH {PT}, {_MEMB}, {_SHAPE}, c AS (SELECT method, CAST(floor((x+1.25)/5) AS INTEGER) AS xi, CAST(floor((y+1.25)/5) AS INTEGER) AS yi,
+          avg(err) AS m, count(*) AS n FROM errs GROUP BY 1, 2, 3), g AS (SELECT DISTINCT method, CAST(a.a AS INTEGER) AS xi, CAST(b.b AS INTEGER) AS yi FROM errs, (SELECT unnest(range(nx)) AS a FROM shape) a, (SELECT unnest(range(ny)) AS b FROM shape) b)
         SELECT method, xi, yi, {q('m', 'mean_err')}, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (method, xi, yi)""",
     "pct_within": f"WITH {PT}, {_MEMB}, e AS (SELECT method, {q('err', 'err')} FROM errs) SELECT method, {', '.join(q(f'avg(CASE WHEN err <= {t} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END)', f'within_{t}') for t in (5, 10, 20, 40))} FROM e GROUP BY method",
     "accuracy_labels": f"""WITH {PT}, {_MEMB}, m AS (SELECT method, avg(err) AS mae FROM errs GROUP BY method)

@@ -75,5 +75,12 @@ def spread(df: DataFrame, key: str = "id") -> DataFrame:
     splits still uses the whole cluster.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(max(cores, min(size >> 27, 4 * cores)), key)
+    # what the plan reads; estimates above a join, and those a checkpoint keeps of them, multiply and say nothing
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    parts = cores
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            parts = max(parts, leaf.rdd().getNumPartitions())
+        else:
+            parts = max(parts, min(int(str(leaf.stats().sizeInBytes())) >> 27, 1 << 20))
+    return df.repartition(parts, key)

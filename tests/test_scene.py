@@ -61,7 +61,7 @@ def test_polygons(spark):
 
 def test_names(spark):
     d = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id") % 700)).alias("nm"))
-    got = {r["id"]: r["name"] for r in G.number_duplicates(d, "nm", "id", 16).collect()}
+    got = {r["id"]: r["name"] for r in G.number_duplicates(d, "nm", "id").collect()}
     assert got[0] == "hot" and got[3] == "hot_002" and got[2997] == "hot_1000" and got[1] == "n1" and len(set(got.values())) == 3000
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import links as L
 from pathloom.operators import match as M
-from pathloom.operators import skew as SK
 from pathloom.operators import stats as S
 from pathloom.schema import PATHS
 from pathloom.session import materialize
@@ -29,7 +28,6 @@ def hot(spark):
 def small_salts(monkeypatch):
     for m in (L, M, S):
         monkeypatch.setattr(m, "ROWS_PER_SALT", 500)
-    monkeypatch.setattr(SK, "MAX_HOT_KEYS", 50)
 
 
 def test_first_flag(hot):
