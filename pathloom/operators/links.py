@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import expr as X
+from pathloom.operators.evaluate import running_sum
 from pathloom.operators.skew import ROWS_PER_SALT, salted_lookup
 from pathloom.session import materialize
 
@@ -165,7 +166,7 @@ def best_link(paths: DataFrame) -> DataFrame:
 
 
 def best_tx_paths(paths: DataFrame) -> DataFrame:
-    """Paths of the transmitter with the largest total power, by delay, with their gain in dB."""
+    """Paths of the transmitter with the largest total power, with their gain in dB and their place by delay in the link."""
     best = (
         paths.groupBy("tx_id")
         .agg(F.sum(F.col("amp") * F.col("amp")).alias("p"))
@@ -173,8 +174,11 @@ def best_tx_paths(paths: DataFrame) -> DataFrame:
         .limit(1)
         .select("tx_id")
     )
-    return (
+    chosen = (
         paths.filter(X.valid_path_compare(F.col("delay_ns"), F.col("amp")))
         .join(F.broadcast(best), "tx_id", "left_semi")
         .select(*LINK, "path_id", "delay_ns", "amp", X.amp_to_db(F.col("amp")).alias("gain_db"))
     )
+    # a running count over ranges: one link may hold most of the paths
+    ordered = chosen.withColumns({"_o": F.struct("delay_ns", "path_id"), "_one": F.lit(1)})
+    return running_sum(ordered, LINK, "_o", "_one", "delay_rank").drop("_o", "_one")

@@ -11,6 +11,8 @@ from pathloom.operators import stats as S
 from pathloom.plans.common import publish, q, qs
 from pathloom.session import materialize
 from pathloom.sources import carriers as C
+from pathloom.sources import ingest as SI
+from pathloom.sources import sinks as SK
 
 P, RX = C.PATHS_SQL, C.RX_SQL
 ROTATION = [-75.0, 25.0, 125.0, 100.0, 125.0]  # antenna headings of the five transmitters
@@ -180,6 +182,38 @@ def departure_angles(spark, d):
     return out.withColumn("az_aod", one)
 
 
+def wide_paths(spark, d):
+    """The wide export rows: positions, levels and angles of every path."""
+    tx = spark.range(C.N_TX).select(
+        F.col("id").cast("int").alias("tx_id"),
+        (F.col("id") * 20.0 - 40.0).alias("x"),
+        (F.col("id") * -15.0 + 30.0).alias("y"),
+        F.lit(19.0).alias("z"),
+    )
+    rx = C.event_rx(spark, d).withColumn("z", F.lit(1.25))
+    paths = C.event_paths(spark, d).withColumn("el_deg", F.col("el_deg") - 90.0)
+    out = publish(SK.wide_paths(paths, tx, rx, "events", 3.5e9))
+    az = F.when(F.abs("el_aod_deg") >= 90, 0.0).when(F.col("az_aod_deg") <= -180, 180.0).otherwise(F.col("az_aod_deg"))
+    return out.withColumn("az_aod_deg", az)
+
+
+def ray_join(spark, d):
+    """Rays of an external table (line items) brought to the path layout, for the receivers that exist."""
+    l = C.table(spark, d, "lineitem")
+    price = F.col("l_extendedprice").cast("double")
+    rays = l.select(
+        F.col("l_orderkey").alias("rx_index"),
+        F.pmod(F.col("l_suppkey"), F.lit(9)).cast("int").alias("tx_idx"),
+        (F.col("l_quantity").cast("double") * 1e-9).alias("delay"),
+        (1.0 / price).alias("gain_real"),
+        (F.col("l_discount").cast("double") / price).alias("gain_imag"),
+        F.pmod(F.col("l_partkey"), F.lit(360)).cast("double").alias("aoa_az"),
+        F.pmod(F.col("l_linenumber"), F.lit(181)).cast("double").alias("aoa_el"),
+    )
+    rx = C.table(spark, d, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("rx_id"))
+    return publish(SI.rays_to_paths(rays, rx).drop("path_id").withColumn("amp", F.col("amp") * 1e6))
+
+
 def geometry_delay(spark, d):
     """Line-of-sight delay, amplitude and level for every receiver and transmitter position."""
     rx = C.event_rx(spark, d).select("rx_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(C.N_TX - 1))).alias("tx_id"))
@@ -242,7 +276,7 @@ QUERIES = {
         paths_per_rx_hist, data_quality, delay_histogram, azimuth_histogram, spread_histogram, link_gain,
         big_link_features, best_link, best_tx_paths, rss, first_arrival, dominant_path, strongest_path,
         strongest_n_paths, aoa_features, reached_flags, imputed_links, tdoa_pairs, tdoa_imputed, all_reached_rx,
-        path_match, match_stats, departure_angles, geometry_delay,
+        path_match, match_stats, departure_angles, wide_paths, ray_join, geometry_delay,
     )
 }
 
@@ -292,7 +326,8 @@ ORACLES = {
     "best_link": f"""WITH {P} SELECT rx_id, tx_id, {q('max(amp)', 'max_amp')}, {q('sum(amp*amp)', 'power')} FROM paths
         GROUP BY rx_id, tx_id ORDER BY max(amp) DESC, rx_id, tx_id LIMIT 1""",
     "best_tx_paths": f"""WITH {P}, b AS (SELECT tx_id FROM paths GROUP BY tx_id ORDER BY sum(amp*amp) DESC, tx_id LIMIT 1)
-        SELECT rx_id, tx_id, path_id, {qs('delay_ns', 'amp')}, {q('20.0::DOUBLE*log10(amp+1e-20)', 'gain_db')}
+        SELECT rx_id, tx_id, path_id, {qs('delay_ns', 'amp')}, {q('20.0::DOUBLE*log10(amp+1e-20)', 'gain_db')},
+          row_number() OVER (PARTITION BY rx_id, tx_id ORDER BY paths.delay_ns, path_id) AS delay_rank
         FROM paths WHERE tx_id = (SELECT tx_id FROM b) AND delay_ns > 0 AND amp > 1e-20""",
     "rss": f"WITH {P}, {_LINKS} SELECT rx_id, tx_id, n_paths, {qs('rss')} FROM links",
     "first_arrival": f"WITH {P}, {_LINKS} SELECT rx_id, tx_id, {qs('delay', 'path_loss')} FROM links",
@@ -327,6 +362,18 @@ ORACLES = {
           {q('degrees(CASE WHEN los THEN atan2(dy, dx) ELSE atan2(-cos(e)*sin(a), -cos(e)*cos(a)) END)', 'az_aod')},
           {q('degrees(CASE WHEN los THEN asin(dz / sqrt(dx*dx+dy*dy+dz*dz)) ELSE asin(greatest(-1, least(1, -sin(e)))) END)', 'el_aod')}
         FROM g) SELECT rx_id, tx_id, path_id, CASE WHEN abs(el_aod) >= 90 THEN 0 WHEN az_aod <= -180 THEN 180 ELSE az_aod END AS az_aod, el_aod FROM o""",
+    "wide_paths": f"""WITH {P}, g AS (SELECT *, row_number() OVER (PARTITION BY rx_id, tx_id ORDER BY delay_ns, path_id) = 1 AS los,
+            (rx_id % 25)*2.5::DOUBLE - 47.5 AS ux, (rx_id // 25)*2.5::DOUBLE - 60.0 AS uy, tx_id*20.0::DOUBLE - 40 AS bx, tx_id * -15.0::DOUBLE + 30 AS bs,
+            radians(az_deg) AS a, radians(el_deg - 90) AS e FROM paths),
+          o AS (SELECT *, {q('degrees(CASE WHEN los THEN atan2(uy-bs, ux-bx) ELSE atan2(-cos(e)*sin(a), -cos(e)*cos(a)) END)', 'az')},
+            {q('degrees(CASE WHEN los THEN asin(-17.75::DOUBLE / sqrt((ux-bx)*(ux-bx)+(uy-bs)*(uy-bs)+17.75::DOUBLE*17.75::DOUBLE)) ELSE asin(greatest(-1, least(1, -sin(e)))) END)', 'el')} FROM g)
+        SELECT 'events' AS source, bx AS bs_x, bs AS bs_y, 19.0::DOUBLE AS bs_z, ux AS ue_x, uy AS ue_y, 1.25::DOUBLE AS ue_z, 3.5e9::DOUBLE AS "carrier_freq_Hz",
+          path_id AS path_index, {qs('delay_ns')}, {q('amp', 'amplitude_abs')}, {q('amp*amp', 'channel_gain_linear')}, {q('10.0::DOUBLE*log10(amp*amp+1e-30)', '"channel_gain_dB"')},
+          az_deg AS az_aoa_deg, el_deg - 90 AS el_aoa_deg, CASE WHEN abs(el) >= 90 THEN 0 WHEN az <= -180 THEN 180 ELSE az END AS az_aod_deg, el AS el_aod_deg FROM o""",
+    "ray_join": f"""SELECT l_orderkey AS rx_id, CAST(l_suppkey % 9 AS INTEGER) AS tx_id, {q('l_quantity::DOUBLE * 1e-9 / 1e-9', 'delay_ns')},
+          {q('sqrt(pow(1.0::DOUBLE/l_extendedprice, 2) + pow(l_discount::DOUBLE/l_extendedprice, 2)) * 1e6', 'amp')},
+          (l_partkey % 360)::DOUBLE AS az_deg, (l_linenumber % 181)::DOUBLE AS el_deg
+        FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)""",
     "geometry_delay": f"""WITH {RX}, g AS (SELECT rx_id, CAST(t.tx_id AS INTEGER) AS tx_id, x, y, sqrt(pow(x - (t.tx_id*20.0::DOUBLE-40), 2) +
             pow(y - (t.tx_id * -15.0::DOUBLE + 30), 2) + 17.75::DOUBLE*17.75::DOUBLE) AS dist FROM rx CROSS JOIN range(0,5) t(tx_id))
         SELECT rx_id, tx_id, {q('dist / 299792458.0::DOUBLE / 1e-9', 'delay_ns')}, {q('20.0::DOUBLE*log10(1.0::DOUBLE/dist + 1e-20)', 'gain_db')},

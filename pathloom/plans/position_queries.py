@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import expr as X
@@ -242,6 +243,14 @@ def ablation_table(spark, d):
     return publish(t.select("combo", "n_feat", "feat_abbrev", "wknn_mae", "wknn_rmse", "wknn_p90", "best_mae", "best_method"))
 
 
+def ablation_ranked(spark, d):
+    """The sorted comparison table with the place of every combination; there are as many rows as combinations."""
+    # as published: combinations that differ in the last bit share a value
+    t = EV.sort_table(publish(materialize(EV.comparison_table(_ablation(spark, d))))).select("combo", "wknn_mae")
+    place = F.row_number().over(Window.orderBy(F.col("wknn_mae").asc_nulls_last(), "combo"))
+    return t.withColumn("place", place)
+
+
 def delta_vs_baseline(spark, d):
     return publish(EV.delta_vs_baseline(materialize(EV.comparison_table(_ablation(spark, d)))))
 
@@ -400,7 +409,7 @@ QUERIES = {
         cell_centroids, knn_topk, knn_cosine, knn_loo, accuracy_knn_class, wknn_predict, wknn_cv_grid, wknn_best,
         wknn_metrics, loo_k_sweep, localize_new, c2f_refine, c2f_cv_grid, ensemble_mean, ensemble_trimmed,
         ensemble_weights, error_metrics, path_percentiles, error_cdf, error_heatmap, pct_within, accuracy_labels,
-        results_wide, ablation_table, delta_vs_baseline, intruder_ranks, trustworthiness, trustworthiness_doubled,
+        results_wide, ablation_table, ablation_ranked, delta_vs_baseline, intruder_ranks, trustworthiness, trustworthiness_doubled,
         kruskal_stress, nnle, nnle_idw, chart_winners, propagate, geographic_rgb, frobenius_nearest,
     )
 }
@@ -500,6 +509,7 @@ ORACLES = {
           for m in ('k1', 'k3', 'k9', 'k25') for c, n in (('px', 'Pred_X'), ('py', 'Pred_Y'), ('err', 'Error')))} FROM errs GROUP BY query_id""",
     "ablation_table": f"""WITH {PT}, {_ABL} SELECT combo, 8*({' + '.join(f'g{i}' for i in range(8))}) AS n_feat, concat_ws('+', {_ABBR}) AS feat_abbrev,
           {q('mae', 'wknn_mae')}, {q('rmse', 'wknn_rmse')}, {q('p90', 'wknn_p90')}, {q('mae', 'best_mae')}, 'WKNN (IDW)' AS best_method FROM t JOIN cb USING (combo)""",
+    "ablation_ranked": f"""WITH {PT}, {_ABL} SELECT combo, {q('mae', 'wknn_mae')}, CAST(row_number() OVER (ORDER BY {q('mae')}, combo) AS INTEGER) AS place FROM t JOIN cb USING (combo)""",
     "delta_vs_baseline": f"""WITH {PT}, {_ABL} SELECT combo, {q('mae', 'best_mae')}, {q("mae - (SELECT mae FROM t WHERE combo = 'ALL')", 'delta')} FROM t WHERE combo <> 'ALL'""",
     "intruder_ranks": f"WITH {PT}, {_ranks(0, False)} SELECT i AS query_id, j AS cand_id, rh AS rank FROM rk WHERE rl <= 10 AND rh > 10",
     "trustworthiness": f"""WITH {PT}, {_ranks(0, False)}, s AS (SELECT n, {_twct()} FROM rk CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM points) GROUP BY n)
