@@ -1,0 +1,248 @@
+"""Toxicity, personal data, secrets, URL filters and the pipeline."""
+
+import hashlib
+import random
+import re
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from pathloom.llm import pii, secret_scan, toxicity, url_filter
+
+
+def toxic_corpus(n=500, seed=4):
+    r = random.Random(seed)
+    syllables = "th er on an re nd ing or es en to ha ly st ou".split()
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 4)))
+    bad = ["grumpf", "snorkol", "blixtar"]
+    rows = []
+    for k in range(n):
+        toxic = k % 3 == 0
+        w = [word() for _ in range(r.randrange(5, 120))]
+        if toxic:
+            for _ in range(1 + len(w) // 40):
+                w[r.randrange(len(w))] = r.choice(bad) + r.choice(["", "ol", "en", "x", "iano"])  # endings differ
+        rows.append((k, " ".join(w), int(toxic)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(9000, None), (9001, ""), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(None, 1), (9000, None)], "doc_id long, toxic int")
+    return rows, docs, labels
+
+
+def test_held_out_labels_are_predicted(tables):
+    rows, docs, labels = tables
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert len(got) == len(rows) + 3 and all(0 <= r["score"] <= 1 for r in got.values())
+    held = [(got[k], y) for k, _, y in rows if got[k]["held_out"]]
+    assert len(held) > 100 and np.mean([r["predicted"] == y for r, y in held]) > 0.95
+    assert got[9000]["predicted"] == 0 and got[9001]["score"] == got[9000]["score"]
+
+
+def test_unseen_endings_share_n_grams(tables):
+    rows, _, _ = tables
+    model = toxicity.fit_calibrated([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    clean, odd = model.scores(["the ther onan reing", "the grumpfulous onan reing"])
+    assert odd > 100 * clean and clean < 0.3
+    long = " ".join(["thering onan rest"] * 3000)  # length hides nothing
+    assert model.scores([long])[0] < 0.3 and model.scores([long + " snorkolen " + long])[0] > 0.7
+
+
+def test_toxic_rows_go_and_columns_stay(spark, tables):
+    rows, docs, labels = tables
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {9000, 9001, None} <= ids and np.mean([(k in ids) != bool(y) for k, _, y in rows]) > 0.95
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def plain_spans(text):
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= sum(c.isdigit() for c in s) <= 19 and pii.luhn(re.sub("[ -]", "", s))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= sum(c.isdigit() for c in s) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m.group())]
+
+
+def test_base_spans_are_the_patterns():
+    r = random.Random(6)
+    cases = ["a@b.co+x@y.zz", "a@b@c.de", "1.2.3.4.5.6.7.8", "1.2.3.256 300.1.1.1", "4111 1111-1111 1111", "+49 (30) 123-4567 8.", "@", "+1+1+12345678901"]
+    cases += ["".join(r.choice("a1.@+- ()b%_9é") for _ in range(r.randrange(1, 120))) for _ in range(3000)]
+    cases += ["".join(r.choice("0123456789 -.+@a") for _ in range(200)) for _ in range(500)]
+    for t in cases:
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_patterns_stay_linear():
+    for t in ("1" * 200_000, "a" * 200_000, "a@" * 60_000, "+1((((" * 30_000, "1.2." * 50_000, "a.b" * 60_000 + "@"):
+        pii.base_spans(t)
+
+
+def test_gradients_are_right():
+    r = np.random.default_rng(0)
+    model = pii.Tagger.fresh(1)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y = r.integers(0, pii.CHARACTERS, (3, 7)), r.integers(0, pii.TAGS, (3, 7))
+    _, g = model.gradients(x, y)
+    for k, v in model.p.items():
+        for _ in range(4):
+            at = tuple(r.integers(0, n) for n in v.shape) if k != "e" else (x[0, 2], 1)
+            old = v[at]
+            v[at] = old + 1e-3
+            up = model.gradients(x, y)[0]
+            v[at] = old - 1e-3
+            down = model.gradients(x, y)[0]
+            v[at] = old
+            assert abs((up - down) / 2e-3 - g[k][at]) < 2e-3 * max(1, abs(g[k][at])), (k, at)
+
+
+def test_viterbi_finds_the_best_path():
+    r = np.random.default_rng(2)
+    model = pii.Tagger.fresh(3)
+    model.p["t"] = r.normal(0, 1, model.p["t"].shape).astype(np.float32)
+    x = r.integers(0, pii.CHARACTERS, (2, 4))
+    tags, _ = model.decode(x)
+    s, t = model.emissions(x), model.p["t"]
+    for row in range(2):
+        best = max(
+            np.ndindex(*[pii.TAGS] * 4),
+            key=lambda p: sum(s[k, row, p[k]] for k in range(4)) + sum(t[p[k], p[k + 1]] for k in range(3)),
+        )
+        assert tuple(tags[row]) == best
+
+
+def pii_rows(n, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    make = [lambda: f"{word()}.{word()}@{word()}.com", lambda: ".".join(str(r.randrange(256)) for _ in range(4)), card, lambda: f"+{r.randrange(1, 99)} {digits(3)} {digits(7)}"]
+    return [(k, " ".join([word() for _ in range(12)] + [make[k % 4]()] + [word() for _ in range(12)])) for k in range(n)]
+
+
+def test_tagger_finds_held_out_spans(spark):
+    rows = pii_rows(600, 1)
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [t for _, t in pii_rows(200, 99)]
+    hit = sum(bool({x[:3] for x in tagged} & set(plain_spans(t))) for t, tagged in zip(texts, pii.tag_texts(model, texts)))
+    assert hit > 0.85 * len(texts)
+    assert pii.tag_texts(model, ["no marks here", "", "é" * 300]) == [[], [], []]
+
+
+def test_personal_data_rows(spark):
+    rows = [*pii_rows(120, 7), (500, None), (501, ""), (None, "a@b.cd"), (7, pii_rows(8, 7)[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_email")
+    got = pii.personal_data(df).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    for k, t in rows:
+        want = plain_spans(t or "")
+        r = by_id[k]
+        assert [r[f"n_{n}"] for n in pii.KINDS] == [sum(s[0] == i for s in want) for i in range(4)]
+        listed = ",".join(f"{pii.KINDS[a]}:{b}:{c}" for a, b, c in want)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert r["spans"].startswith(listed)
+    assert pii.personal_data(df.limit(0)).count() == 0
+    assert pii.personal_data(spark.createDataFrame([(1, "clean")], "doc_id long, text string")).first()["spans"] == ""
+
+
+def secret_spans(t):
+    out = []
+    for k, (p, ok) in enumerate(
+        [
+            (r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 8),
+            (r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 16),
+            (r"[0-9a-f]+", lambda m: len(m.group()) >= 32),
+        ]
+    ):
+        out += [(m.start(), k, m.end(), m.group(2) if k == 0 else m.group()) for m in re.finditer(p, t) if ok(m)]
+    return sorted(out)
+
+
+def test_secrets_against_python(spark):
+    r = random.Random(8)
+    key = "AKIA" + "ABCDEFGH12345678"
+    rows = [
+        (0, f"é {key} and token: secret: abcdefgh12 PassWord = \"hunter2hunter2\"", "o1"),
+        (1, f"copy {key}", "o2"), (2, "api_key='" + "0123456789abcdef" * 2 + "'", "o1"), (3, None, "o1"), (4, "", None),
+        (5, "AKIA" * 9 + "\nAKIA1 " + "a" * 31 + " " + "b" * 32, "o3"), (5, "AKIA" * 9, "o3"), (None, "secret=" + "x" * 9, None),
+    ]
+    rows += [(10 + k, "".join(r.choice(["token", "=", " ", "abc1", "AKIA", "XY12", "0123abcd" * 4, "é", ":", '"', "\n"]) for _ in range(40)), f"o{k % 4}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.scan(df, secret_scan.F.col("source"), secret_scan.F.col("source")).collect()
+    assert len(got) == len(rows)
+    names = ["assign", "access", "hex"]
+    by_id = {}
+    for g in got:
+        by_id.setdefault(g["doc_id"], []).append(g)
+    owners = {}
+    for _, t, o in rows:
+        for *_, v in secret_spans(t or ""):
+            owners.setdefault(v, set()).add(o)
+    for k, t, _ in rows:
+        want = secret_spans(t or "")
+        base = ",".join(f"{names[x[1]]}:{x[0]}:{x[2]}" for x in want)
+        copied = {(x[2] - len(x[3]), x[2]) for x in want if len(owners[x[3]]) > 1}
+        mine = [g for g in by_id[k] if g["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()]
+        assert mine and mine[0]["n_copied"] == len(copied)
+        listed = mine[0]["spans"].split(",") if mine[0]["spans"] else []
+        assert [x for x in listed if x.split(":")[0] in names] == (base.split(",") if base else [])
+    assert secret_scan.scan(df.limit(0), secret_scan.F.col("source"), secret_scan.F.col("source")).count() == 0
+
+
+def test_urls_and_validity(spark):
+    t = datetime(2024, 1, 1)
+    day = timedelta(days=1)
+    entries = [
+        (1, "block", "example.com", t, "add"), (2, "block", "example.com", t + 3 * day, "remove"), (3, "allow", "ok.example.com", t + day, "add"),
+        (4, "block", "bad.org", t + day, "remove"), (5, "block", "bad.org", t + day, "add"), (6, None, "x.y", t, "add"), (7, "block", "x.y", None, "add"),
+    ]
+    captures = [
+        (1, "https://www.example.com/a", t), (2, "http://example.com:80", t - timedelta(seconds=1)), (3, "https://EXAMPLE.com./", t + 3 * day),
+        (4, "https://u@a.ok.example.com?q", t + 2 * day), (5, "https://a.ok.example.com", t + timedelta(hours=1)), (6, "https://bad.org", t + 9 * day),
+        (7, None, t), (8, "nonsense", t), (9, "https://bad.org", None), (6, "https://bad.org", t + 9 * day), (None, "https://notbad.org", t),
+    ]
+    e = spark.createDataFrame(entries, "entry_id long, list string, pattern string, listed_at timestamp_ntz, action string")
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp_ntz")
+    got = sorted(((r["page_id"], r["verdict"]) for r in url_filter.evaluate(c, e).collect()), key=repr)
+    want = [(1, "block"), (2, "pass"), (3, "pass"), (4, "pass"), (5, "block"), (6, "block"), (6, "block"), (7, "unknown"), (8, "unknown"), (9, "unknown"), (None, "pass")]
+    assert got == sorted(want, key=repr)
+    assert url_filter.evaluate(c.limit(0), e).count() == 0
+    assert {r["verdict"] for r in url_filter.evaluate(c, e.limit(0)).collect()} == {"pass", "unknown"}
+
+
+def test_pipeline_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "exact dedup", "MinHash near-dedup", "benchmark decontamination", "packing"]
+    ids = {r["doc_id"] for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        kept = {r["doc_id"] for r in out.collect()}
+        assert kept < ids and len(kept) > 0.4 * len(ids)
+    out = corpus_pipeline.run(spark, sf)
+    rows = out.select("doc_id", "length", "ids", "doc_tokens", "sequence_id").collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows) and all(len(r["ids"]) == r["length"] for r in rows)
+    assert {r["doc_id"] for r in rows} < ids
+
+
+def test_pipeline_takes_extra_columns_and_nothing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 AS score", "'x' AS component_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf).columns == docs.columns
+        assert stage(spark, docs.limit(0), sf).count() == 0
