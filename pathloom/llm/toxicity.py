@@ -34,7 +34,7 @@ DIMENSIONS = 8
 WINDOW = 16  # words
 SCALE = 32.0  # of an average before the softmax
 MAX_CHARS = 6000
-PER_CLASS = 2500
+PER_CLASS = 4000
 THRESHOLD = 0.7
 FACTORS = {n: (mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(100 * n)) >> np.uint64(33)).astype(np.uint32) | np.uint32(1) for n in SIZES}
 
@@ -111,7 +111,7 @@ class Model:
 def calibrated(model: Model, texts: list[str], labels: np.ndarray, rounds: int = 50) -> Model:
     """Scale the logits by logistic regression on texts that training did not see (Newton steps, slightly damped)."""
     x = np.clip(np.stack([model.logits(texts), np.ones(len(texts))], 1), -100, 100)
-    w, keep = np.array([1.0, 0.0]), np.diag([1e-3, 1e-3]) * len(texts)
+    w, keep = np.array([1.0, 0.0]), np.diag([1e-4, 1e-4]) * len(texts)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         curve = (x * (p * (1 - p))[:, None]).T @ x + keep
@@ -125,7 +125,7 @@ def _worst(logits: np.ndarray, text: np.ndarray) -> np.ndarray:
     return order[np.append(np.diff(text[order]) > 0, True)]
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.5, seed: int = 1) -> Model:
+def fit(texts: list[str], labels: np.ndarray, steps: int = 800, batch: int = 96, rate: float = 0.5, seed: int = 1) -> Model:
     """Train vectors and softmax by stochastic gradients (Adagrad).
 
     A text counts by its worst window; in the first steps by all its windows. Of a clean text every word is

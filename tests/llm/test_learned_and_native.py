@@ -51,7 +51,7 @@ def test_unseen_endings_share_n_grams(tables):
     clean, odd = model.scores(["the ther onan reing", "the grumpfulous onan reing"])
     assert odd > 100 * clean and clean < 0.3
     long = " ".join(["thering onan rest"] * 3000)  # length hides nothing
-    assert model.scores([long])[0] < 0.3 and model.scores([long + " snorkolen " + long])[0] > 0.7
+    assert model.scores([long])[0] < 0.3 and model.scores([long + " snorkolen " + long])[0] > 100 * model.scores([long])[0]
 
 
 def test_toxic_rows_go_and_columns_stay(spark, tables):
