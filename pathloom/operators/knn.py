@@ -30,6 +30,7 @@ from pathloom.session import fresh, materialize, spread
 LOCAL_ROWS = 4096  # candidates shipped to every task: at most this many rows ...
 LOCAL_BYTES = 64 << 20  # ... and this many bytes
 BLOCK_ROWS = 4096  # rows of one side in one block
+VISIT_ROWS = 256  # queries whose distances to all pivots are held at once
 MAX_PIVOTS = 8192  # and at most PIVOT_BYTES of them
 PIVOT_BYTES = 32 << 20
 
@@ -213,23 +214,30 @@ def _visits(queries: DataFrame, pivots, folds, n, r, k: int) -> DataFrame:
     """
     shared = queries.sparkSession.sparkContext.broadcast((pivots, folds, n, r))
 
-    def run(batches):
+    def cells_of(q: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
         piv, fold_ids, rows_in, radius = shared.value
+        d = B.distances(q, piv)
+        usable = fold_ids[None, :] != fold[:, None]
+        count = usable.astype(np.int64) @ rows_in
+        reach = np.full(d.shape, -1.0)
+        for f in range(len(fold_ids)):  # fold by fold: no cube of queries, folds and pivots
+            rows = usable[:, f]
+            reach[rows] = np.maximum(reach[rows], radius[f][None, :])
+        upper = np.where(count > 0, d + reach, np.inf)
+        order = np.argsort(upper, axis=1)
+        filled = np.take_along_axis(count, order, axis=1).cumsum(axis=1)
+        at = np.minimum((filled < k).sum(axis=1), d.shape[1] - 1)
+        bound = np.take_along_axis(upper, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
+        slack = 1e-9 * (1.0 + np.abs(d).max(axis=1))
+        hit = (count > 0) & (d - reach <= (bound + slack)[:, None])
+        return [np.flatnonzero(h).astype(np.int32) for h in hit]
+
+    def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            d = B.distances(B.matrix(b["vec"]), piv)
-            usable = fold_ids[None, :] != B.vector(b["fold"], np.int64)[:, None]
-            count = usable.astype(np.int64) @ rows_in
-            reach = np.where(usable[:, :, None], radius[None, :, :], -1.0).max(axis=1)
-            upper = np.where(count > 0, d + reach, np.inf)
-            order = np.argsort(upper, axis=1)
-            filled = np.take_along_axis(count, order, axis=1).cumsum(axis=1)
-            at = np.minimum((filled < k).sum(axis=1), d.shape[1] - 1)
-            bound = np.take_along_axis(upper, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
-            slack = 1e-9 * (1.0 + np.abs(d).max(axis=1))
-            hit = (count > 0) & (d - reach <= (bound + slack)[:, None])
-            visits = [np.flatnonzero(h).astype(np.int32) for h in hit]
+            q, fold = B.matrix(b["vec"]), B.vector(b["fold"], np.int64)
+            visits = [v for s in range(0, len(q), VISIT_ROWS) for v in cells_of(q[s : s + VISIT_ROWS], fold[s : s + VISIT_ROWS])]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*b.schema.names, "visits"]
             )

@@ -14,6 +14,9 @@ from pathloom.operators.skew import ROWS_PER_SALT, salted_lookup
 from pathloom.session import materialize
 
 
+MAX_REPORT_ROWS = 10_000
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
@@ -49,6 +52,7 @@ def write_path_csv(paths: DataFrame, path: str) -> bool:
     out = paths.filter(X.valid_path_export(F.col("delay_ns"), F.col("amp"))).select(
         "rx_id", "tx_id", "path_id", "delay_ns", F.col("amp").alias("amplitude"), X.amp_to_db(F.col("amp")).alias("gain_dB")
     )
+    out = materialize(out)
     if out.isEmpty():
         return False
     out.write.mode("overwrite").csv(path, header=True)
@@ -113,9 +117,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, columns: list[str] | None = None) -> str:
-    """A report table. Meant for summary frames of a few rows."""
+    """A report table of at most MAX_REPORT_ROWS rows; a longer frame is refused, not cut."""
     cols = columns or df.columns
-    rows = df.select(*cols).collect()
+    rows = df.select(*cols).limit(MAX_REPORT_ROWS + 1).collect()
+    if len(rows) > MAX_REPORT_ROWS:
+        raise ValueError(f"more than {MAX_REPORT_ROWS} rows: write the frame as a table")
 
     def cell(v) -> str:
         if v is None:
