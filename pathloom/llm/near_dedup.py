@@ -7,15 +7,15 @@
    probability (1 - 0.8**4)**32 = 5e-8.
 3. Candidates. In every bucket each class is compared with one center, so a bucket of n classes gives n - 1 pairs. Pairs are first judged by the joint likelihood
    of both sketches (the set sizes are known): one that fits the least similarity worse than the best fit by LIKELIHOOD_MARGIN is
-   left out, and so is one whose set sizes alone forbid it. The others are confirmed on their full sets, read again from the texts.
-4. Components of the confirmed links. Where classes of one bucket are still in different components, each class takes its most
-   similar one of every other component, and in a last round all that are left; those searches go through
-   blocks of a bucket in NumPy and only give the pairs that pass the likelihood. So no link between classes that share a bucket is lost,
-   and no bucket is expanded into all its pairs.
+   left out, and so is one whose set sizes alone forbid it. The others are confirmed on their full sets. Sets are taken from the texts once, for
+   the members of buckets; pairs are dealt out in tiles, each for two parts of clusters of TILE_BYTES, so that a set is sent once for a tile and not once for a pair.
+4. Components of the confirmed links. Where classes of one bucket are still in different components, they are compared
+   across components, tile by tile in NumPy: by sketch, then by likelihood, then on their full sets, likeliest pairs first, and only links between
+   components come out. So no link between classes that share a bucket is lost, and no bucket is expanded into its pairs.
 
 Defined cases: null, empty and wordless texts have no shingles, form a component alone and are kept; a text of fewer words than a
 shingle is one shingle; ties go to the smaller doc_id; rows repeated with one doc_id are each reported, and all
-stay if it does; a null doc_id is never linked and is kept; extra columns stay in ``drop_near_copies``.
+stay if it does (of their different texts the one with the largest set is compared); a null doc_id is never linked and is kept; extra columns stay in ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -31,15 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import blocks, lower_bytes, mix, raw, span_hashes, spans
-from pathloom.session import materialize
+from pathloom.session import fresh, materialize
 
 REGISTERS = 128
 BAND_ROWS = 4
 BASE = 1.001  # of the exponential scale
 RATE = 20.0  # of the exponential variates
 TOP = (1 << 16) - 2  # largest register
-LIKELIHOOD_MARGIN = 14.0
-BLOCK = 512  # classes of a bucket that are compared at once
+LIKELIHOOD_MARGIN = 10.0
+TILE_BYTES = 4 << 20  # of sets of a tile: members of one cluster that are compared together
+SENT_IDS = 1_000_000  # ids that may be broadcast, 8 bytes each
+GROUP_BYTES = 32 << 20  # of sets that are held in one call
 FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
 SHIFTS = mix(np.arange(5001, 5065, dtype=np.uint64)) | np.uint64(1)
@@ -110,6 +112,11 @@ def _p(x: np.ndarray) -> np.ndarray:
 _GRID = np.linspace(0.0, 1.0, 41)
 
 
+def least_equal(similarity: float) -> int:
+    """Fewer equal registers than this speak against the similarity by six standard deviations."""
+    return int(REGISTERS * similarity - 6 * math.sqrt(REGISTERS * similarity * (1 - similarity)))
+
+
 def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs of sketches (rows of ``a`` and ``b``) can have the similarity, and their likeliest one.
 
@@ -176,28 +183,70 @@ def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return both.mapInPandas(test, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; texts of other documents don't move."""
-    texts = docs.select(F.col("doc_id"), F.col("text"))
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(
-        texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b"
-    )
+def full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(id, values): the shingle hashes of the documents in ``members`` (id); other texts don't move where the ids can be sent."""
+    if members.count() <= SENT_IDS:
+        members = F.broadcast(members)
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id", "left_semi")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
-        for batch in batches:
-            keep = []
-            for k, (ta, tb) in enumerate(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())):
-                if tb != last or last_set is None:  # rows come ordered by b
-                    last, last_set = tb, next(shingles(pa.array([tb]), words))
-                mine = next(shingles(pa.array([ta]), words))
-                shared = len(np.intersect1d(mine, last_set, assume_unique=True))
-                if 100 * shared >= percent * (len(mine) + len(last_set) - shared):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in blocks(batches):
+            values = pa.array([x.tobytes() for x in shingles(part, words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), values], names=["id", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}").distinct()
+    return texts.mapInArrow(take, f"id {kind}, values binary")
+
+
+def clusters(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, tile): members that share buckets mostly have one cluster, which is cut into parts of about TILE_BYTES.
+
+    Every two parts of a cluster are compared, so a member is sent as often as the cluster has parts.
+    """
+    named = buckets.groupBy("id").agg(F.min("b").alias("cluster"))
+    held = named.join(classes.select("id", (8 * F.col("n_shingles") + 300).alias("bytes")), "id")
+    sizes = held.groupBy("cluster").agg(F.ceil(F.sum("bytes") / TILE_BYTES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    return named.join(sizes, "cluster").select("id", F.xxhash64("cluster", part).alias("tile"))
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    shared = int((y[at] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def confirmed(pairs: DataFrame, tiles: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    one = tiles.select("id", "tile")
+    tiled = materialize(
+        pairs.join(one.withColumnsRenamed({"id": "a", "tile": "ta"}), "a")
+        .join(one.withColumnsRenamed({"id": "b", "tile": "tb"}), "b")
+        .select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"))
+    )
+    ends = tiled.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = ends.join(sizes.select("id", "n_shingles"), "id").agg(F.sum("n_shingles")).first()[0] or 0
+    groups = max(1, -(-8 * held // GROUP_BYTES), pairs.sparkSession.sparkContext.defaultParallelism)
+    tiled = tiled.withColumn("g", F.pmod("tile", F.lit(groups)).cast("int"))
+    sent = tiled.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select("g", "id", "values")
+
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known: dict = {}
+        for i, v in zip(right["id"], right["values"]):
+            known[i] = max(known.get(i, b""), v, key=lambda x: (len(x), x))  # one, unless a doc_id is repeated
+        known = {i: np.frombuffer(v, np.uint64) for i, v in known.items()}
+        keep = []
+        for a, b in zip(left["a"], left["b"]):
+            keep.append(similar(known[a], known[b], percent))
+        return left.loc[np.array(keep, bool), ["a", "b"]]
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return tiled.groupBy("g").cogroup(fresh(sent).groupBy("g")).applyInPandas(check, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,47 +273,85 @@ def components(links: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def across(buckets: DataFrame, classes: DataFrame, component: DataFrame, similarity: float, best_only: bool) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and pass the likelihood.
+def _spanning(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, values: list, left: np.ndarray, right: np.ndarray, percent: int):
+    """Links that join the components of rows ``left`` and ``right`` (positions), likeliest pairs first.
 
-    ``best_only``: for each class of a bucket the most similar one of each other component. A bucket is compared in blocks of BLOCK classes;
-    a class is sent once for each block that it meets.
+    Pairs whose components are joined already are skipped; every other pair that the likelihood leaves is confirmed on its sets.
+    """
+    similarity, fewest, found = percent / 100, least_equal(percent / 100), []
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        may = comp[rows][:, None] != comp[right]
+        may &= np.minimum(n[rows][:, None], n[right]) >= similarity * np.maximum(n[rows][:, None], n[right]) - 1e-9
+        may &= (rows[:, None] < right) | (left[0] != right[0])  # within one tile each pair once
+        i, j = np.nonzero(may)
+        for k in range(0, len(i), 65536):
+            x, y = rows[i[k : k + 65536]], right[j[k : k + 65536]]
+            equal = (sketch[x] == sketch[y]).sum(1) >= fewest
+            x, y = x[equal], y[equal]
+            if len(x):
+                ok, best = may_link(sketch[x], sketch[y], n[x], n[y], similarity)
+                found.append(np.stack([x[ok], y[ok], best[ok] * 1e6]).astype(np.int64))
+    if not found:
+        return
+    x, y, best = np.concatenate(found, 1)
+    order = np.lexsort((y, x, -best))
+    parent: dict = {}
+
+    def root(c):
+        while c in parent:
+            c = parent[c]
+        return c
+
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        p, q = root(comp[i]), root(comp[j])
+        if p != q and similar(values[i], values[j], percent):
+            parent[p] = q
+            yield max(ids[i], ids[j]), min(ids[i], ids[j])
+
+
+def across(buckets: DataFrame, tiles: DataFrame, classes: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between the components that share a bucket; of each two at least one, if there is one.
+
+    Members of buckets with several components are compared tile by tile: every pair of tiles that some bucket spans is one unit of work,
+    to which each member is sent once. Only links come out, at most one less than a unit has members.
     """
     label = F.coalesce("component", "id")
-    named = buckets.join(component, "id", "left").select("bucket", "id", label.alias("component"))
+    named = buckets.join(tiles, "id").join(component, "id", "left").select("bucket", "id", "tile", label.alias("component"))
     # several components in a bucket: else there is nothing to find there
-    open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    open_ = open_.filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows = named.join(open_, "bucket").join(classes.select("id", "n_shingles", "sketch"), "id")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("other", other).select(
-        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "n_shingles", "sketch"
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    inside = materialize(named.join(open_.filter("low <> high").select("bucket"), "bucket"))
+    spanned = inside.groupBy("bucket").agg(F.sort_array(F.collect_set("tile")).alias("t")).select("t").distinct()
+    units = spanned.select(F.explode("t").alias("ta"), "t").select("ta", F.explode(F.filter("t", lambda x: x >= F.col("ta"))).alias("tb")).distinct()
+    one = classes.select("id", "n_shingles", "sketch")
+    members = materialize(inside.select("tile", "id", "component").distinct().join(one, "id"))
+    weight = members.groupBy("tile").agg(F.sum(8 * F.col("n_shingles") + 300).alias("bytes"))
+    sent = units.select("ta", "tb", F.explode(F.array_distinct(F.array("ta", "tb"))).alias("tile"))
+    sent = materialize(sent.join(weight, "tile"))
+    held = sent.agg(F.sum("bytes")).first()[0] or 0
+    groups = max(1, -(-held // GROUP_BYTES), classes.sparkSession.sparkContext.defaultParallelism)
+    rows = (
+        sent.drop("bytes")
+        .join(members.join(sets, "id"), "tile")
+        .withColumn("g", F.pmod(F.xxhash64("ta", "tb"), F.lit(groups)).cast("int"))
     )
     kind = classes.schema["id"].dataType.simpleString()
 
-    def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        left, right = f[f["part"] == key[1]], f[f["part"] == key[2]]
-        same = key[1] == key[2]
-        right_ids, right_comp = right["id"].to_numpy(), right["component"].to_numpy()
-        right_n, right_sketch = right["n_shingles"].to_numpy(), _sketches(right["sketch"])
-        found: list[tuple] = []
-        for row_id, comp, n, s in zip(left["id"], left["component"], left["n_shingles"], left["sketch"]):
-            at = np.flatnonzero((right_comp != comp) & ((right_ids > row_id) if same and not best_only else True))
-            at = at[np.minimum(right_n[at], n) >= similarity * np.maximum(right_n[at], n) - 1e-9]
-            if not len(at):
-                continue
-            mine = np.broadcast_to(np.frombuffer(s, np.uint16), (len(at), REGISTERS))
-            ok, best = may_link(mine, right_sketch[at], np.full(len(at), n), right_n[at], similarity)
-            at, best = at[ok], best[ok]
-            if best_only and len(at):
-                order = np.lexsort((right_ids[at], -best, right_comp[at]))
-                at = at[order][np.r_[True, np.diff(right_comp[at][order]) != 0]]
-            found += [(max(row_id, x), min(row_id, x)) for x in right_ids[at].tolist()]
+    def search(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["ta", "tb", "id"])
+        ids, comp, n, tile = (f[c].to_numpy() for c in ("id", "component", "n_shingles", "tile"))
+        ta, tb, sketch = f["ta"].to_numpy(), f["tb"].to_numpy(), _sketches(f["sketch"])
+        values = [np.frombuffer(v, np.uint64) for v in f["values"]]
+        cuts = np.flatnonzero((np.diff(ta) != 0) | (np.diff(tb) != 0)) + 1
+        found: list = []
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(f)]):
+            every = np.arange(low, high)
+            left, right = every[tile[low:high] == ta[low]], every[tile[low:high] == tb[low]]
+            if len(left) and len(right):
+                found += _spanning(ids, comp, n, sketch, values, left, right, percent)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(search, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("g").applyInPandas(search, f"a {kind}, b {kind}")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -279,20 +366,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     centers = all_bands.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # only buckets with several classes are read again
     buckets = materialize(all_bands.join(centers, "bucket").select("bucket", "id", "b"))
-    tried = materialize(
-        likely(buckets.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), classes, similarity)
-    )
-    links = materialize(confirmed(tried, docs, words, percent))
+    tiles = materialize(clusters(buckets, classes))
+    sets = materialize(full_sets(docs, tiles.select("id"), words))
+    stars = buckets.filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = materialize(confirmed(likely(stars, classes, similarity), tiles, classes, sets, percent))
     found = materialize(components(links))
-    for best_only in (True, False):
-        pairs = across(buckets.select("bucket", "id"), classes, found, similarity, best_only)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        more = materialize(confirmed(pairs, docs, words, percent))
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
-        if not more.isEmpty():
-            found = materialize(components(links))
+    more = materialize(across(buckets, tiles, classes, sets, found, percent))
+    if not more.isEmpty():
+        found = materialize(components(links.unionByName(more)))
     # class id, then component id, for every document of a class
     by_class = classes.join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     linked = named.join(by_class, "set_hash").select("doc_id", "n_shingles", "component_id")

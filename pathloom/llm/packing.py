@@ -15,6 +15,7 @@ an empty table gives no piece; of extra columns none is returned.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -30,7 +31,7 @@ from pathloom.llm.common import blocks
 
 SEQUENCE = 2048
 END_ID = 1
-MEMORY_STRETCHES = 700_000
+MEMORY_STRETCHES = 1_200_000
 LONGEST_STRETCH = 64
 #: a place where one pre-token ends for certain: one space between other characters
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
@@ -55,6 +56,8 @@ class StretchEncoder:
     """Ids of stretches as little-endian 32-bit bytes, remembered."""
 
     def __init__(self, path: str):
+        # one thread for a task: Spark has one for every core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
