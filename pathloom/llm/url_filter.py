@@ -80,14 +80,16 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("pattern", F.explode(parents(F.col("host"))))
     )
-    active = looked_up.join(by_day, ["pattern", "day"], "left").withColumn(
-        "holds",
-        F.coalesce(
-            (F.col("fetched_at") >= F.col("valid_from"))
-            & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))),
-            F.lit(False),
-        ),
-    )
+    on_day = by_day.withColumnsRenamed({"pattern": "_pattern", "day": "_day"})
+    # the time is part of the join, so an entry that did not hold makes no row
+    active = looked_up.join(
+        on_day,
+        (F.col("pattern") == F.col("_pattern"))
+        & (F.col("day") == F.col("_day"))
+        & (F.col("fetched_at") >= F.col("valid_from"))
+        & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))),
+        "left",
+    ).withColumn("holds", F.col("_pattern").isNotNull())
 
     def longest(name: str) -> Column:
         mine = F.when(F.col("holds") & (F.col("list") == name), F.struct(F.length("pattern").alias("n"), "pattern"))
