@@ -41,6 +41,7 @@ TOP = (1 << 16) - 2  # largest register
 LIKELIHOOD_MARGIN = 10.0
 TILE_BYTES = 4 << 20  # of sets of a tile: members of one cluster that are compared together
 SENT_IDS = 1_000_000  # ids that may be broadcast, 8 bytes each
+HOPS = 2  # over buckets, from a member to its cluster
 GROUP_BYTES = 32 << 20  # of sets that are held in one call
 FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
@@ -204,6 +205,9 @@ def clusters(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     Every two parts of a cluster are compared, so a member is sent as often as the cluster has parts.
     """
     named = buckets.groupBy("id").agg(F.min("b").alias("cluster"))
+    for _ in range(HOPS):  # members of one family that don't share the least center's bucket join it over others
+        by_bucket = buckets.join(named, "id").groupBy("bucket").agg(F.min("cluster").alias("cluster"))
+        named = materialize(buckets.join(by_bucket, "bucket").groupBy("id").agg(F.min("cluster").alias("cluster")))
     held = named.join(classes.select("id", (8 * F.col("n_shingles") + 300).alias("bytes")), "id")
     sizes = held.groupBy("cluster").agg(F.ceil(F.sum("bytes") / TILE_BYTES).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
