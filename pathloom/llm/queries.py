@@ -48,12 +48,18 @@ def list_history(pages: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def captures(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """(event_id, page_id, url, fetched_at): each event fetches the page its user_id names; a page that is never fetched has no event."""
+    fetched = events.select("event_id", F.col("user_id").alias("page_id"), F.col("ts").alias("fetched_at"))
+    never = pages.join(fetched.select("page_id").distinct(), "page_id", "left_anti")
+    return fetched.join(pages, "page_id", "left").unionByName(never, allowMissingColumns=True)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page of ``pages`` as fetched at the time of the event of its number, if there is one."""
+    """Every event as a capture of its user's page; a page without events and an event without page stay, as ``unknown``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    fetched = events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched_at"))
-    return url_filter.evaluate(pages.join(fetched, "page_id", "left"), list_history(pages, events))
+    return url_filter.evaluate(captures(pages, events), list_history(pages, events), keys=("event_id", "page_id"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,14 +57,14 @@ def validity(entries: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Verdict of every capture at its fetch time.
 
-    ``captures``: page_id, url, fetched_at. Out: page_id, host, fetched_at, n_active (entries that hold), block_pattern
+    ``captures``: the keys, url, fetched_at. Out: the keys, host, fetched_at, n_active (entries that hold), block_pattern
     and allow_pattern (the longest that hold) and verdict: ``block`` if the longest pattern on list ``block`` is longer
     than the longest on ``allow``, else ``pass``.
     """
-    seen = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_at")
+    seen = captures.select(*keys, host_of(F.col("url")).alias("host"), "fetched_at")
     named = seen.filter(F.col("host").contains(".") & F.col("fetched_at").isNotNull())
     unknown = seen.filter(~F.coalesce(F.col("host").contains(".") & F.col("fetched_at").isNotNull(), F.lit(False)))
     bounds = named.agg(F.to_date(F.min("fetched_at")).alias("low"), F.to_date(F.max("fetched_at")).alias("high")).first()
@@ -95,16 +95,16 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         mine = F.when(F.col("holds") & (F.col("list") == name), F.struct(F.length("pattern").alias("n"), "pattern"))
         return F.max(mine)["pattern"]
 
-    verdicts = active.groupBy("_id", "page_id", "host", "fetched_at").agg(
+    verdicts = active.groupBy("_id", *keys, "host", "fetched_at").agg(
         F.sum(F.col("holds").cast("long")).alias("n_active"),
         longest("block").alias("block_pattern"),
         longest("allow").alias("allow_pattern"),
     )
     blocked = F.length("block_pattern") > F.coalesce(F.length("allow_pattern"), F.lit(0))
-    names = ["page_id", "host", "fetched_at", "n_active", "block_pattern", "allow_pattern"]
+    names = [*keys, "host", "fetched_at", "n_active", "block_pattern", "allow_pattern"]
     return verdicts.select(*names, F.when(blocked, "block").otherwise("pass").alias("verdict")).unionByName(
         unknown.select(
-            "page_id",
+            *keys,
             "host",
             "fetched_at",
             F.lit(0).cast("long").alias("n_active"),
