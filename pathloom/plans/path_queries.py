@@ -210,7 +210,7 @@ def ray_join(spark, d):
         F.pmod(F.col("l_partkey"), F.lit(360)).cast("double").alias("aoa_az"),
         F.pmod(F.col("l_linenumber"), F.lit(181)).cast("double").alias("aoa_el"),
     )
-    rx = C.table(spark, d, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("rx_id"))
+    rx = C.table(spark, d, "orders").select(F.col("o_orderkey").alias("rx_id"))
     return publish(SI.rays_to_paths(rays, rx).drop("path_id").withColumn("amp", F.col("amp") * 1e6))
 
 
