@@ -14,7 +14,7 @@ from pathloom.plans.path_queries import _GRID, _LINKS, P, ROTATION, RX
 from pathloom.schema import GROUP_COLUMNS, group_widths
 from pathloom.sources import carriers as C
 
-FFT, STEP = 512, 16  # 32 kept subcarriers: the full axis is a parameter
+FFT, STEP = 3168, 16  # 198 kept subcarriers over 95 MHz
 AXIS = dict(fft_size=FFT, spacing_hz=30e3, fc=3.6e9, step=STEP)
 
 

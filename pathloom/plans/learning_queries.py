@@ -14,6 +14,7 @@ from pathloom.plans.common import publish, q, qs
 from pathloom.plans.feature_queries import AXIS
 from pathloom.plans.path_queries import _GRID, _LINKS, P, RX
 from pathloom.plans.position_queries import _NN, _W, PT, _pct
+from pathloom.schema import GROUP_COLUMNS, group_widths
 from pathloom.session import materialize
 from pathloom.sources import carriers as C
 
@@ -137,12 +138,13 @@ def best_chart(spark, d):
 
 # ---------------------------------------------------------------- pipeline
 def paths_to_position(spark, d):
-    """Raw paths to positioning metrics: links, imputation, fingerprints, scaling, weights, wKNN."""
-    groups = ["aoa", "rss"]
-    fp = FT.build_fingerprints(C.event_paths(spark, d), C.event_rx(spark, d), C.N_TX, groups)
+    """Raw paths to positioning metrics: links, imputation, fingerprints of all groups, scaling, weights, wKNN."""
+    groups = list(GROUP_COLUMNS)
+    fp = FT.build_fingerprints(C.event_paths(spark, d), C.event_rx(spark, d), C.N_TX, groups, AXIS)
     v = materialize(FT.to_vector(fp, groups).withColumn("is_test", F.pmod("id", F.lit(10)) < 3))
     train, test = v.filter(~F.col("is_test")), v.filter("is_test")
-    sizes = [4 * C.N_TX, C.N_TX]
+    widths = group_widths(C.N_TX, AXIS["fft_size"], AXIS["step"])
+    sizes = [widths[g] for g in groups]
     prep = lambda x: LZ.apply_group_weights(LZ.standardize(x, train), sizes)
     from pathloom.operators.knn import knn_join
 

@@ -91,6 +91,18 @@ def building_mesh(spark, d):
     return publish(m.select("id", "material", "height", F.size("vertices").alias("n_vertices"), F.size("faces").alias("n_faces")))
 
 
+def building_vertices(spark, d):
+    """The vertices of ``building_mesh``, one row each."""
+    v = G.extrude(_rings(spark, d)).select("id", F.posexplode("vertices").alias("vertex", "v"))
+    return publish(v.select("id", "vertex", "v.x", "v.y", "v.z"))
+
+
+def building_faces(spark, d):
+    """The triangles of ``building_mesh`` as vertex numbers, one row each."""
+    f = G.extrude(_rings(spark, d)).select("id", F.posexplode("faces").alias("face", "f"))
+    return f.select("id", "face", "f.i", "f.j", "f.k")
+
+
 def ground_plane(spark, d):
     x, y = X.latlon_to_xy(F.col("lat"), F.col("lon"), F.lit(LAT0), F.lit(LON0))
     g = G.ground_plane(_nodes(spark, d).select(x.alias("x"), y.alias("y")))
@@ -129,7 +141,8 @@ _HT = "CASE WHEN k % 2 = 0 THEN CAST(k % 30 + 3 AS DOUBLE) WHEN k % 9 > 0 THEN (
 QUERIES = {
     f.__name__: f
     for f in (
-        latlon_xy, building_attributes, polygon_area, ear_clip, building_mesh, ground_plane, mesh_names, inside_triangle,
+        latlon_xy, building_attributes, polygon_area, ear_clip, building_mesh, building_vertices, building_faces, ground_plane, mesh_names,
+        inside_triangle,
     )
 }
 
