@@ -84,13 +84,13 @@ def feature_image(spark, d):
 # ---------------------------------------------------------------- learners
 def nn_regression(spark, d):
     train, test = _scaled(spark, d)
-    return publish(NN.regress_positions(train, test, rounds=20))
+    return publish(NN.regress_positions(train, test))
 
 
 def nn_regression_plain(spark, d):
     """Plain layer stack with weight decay."""
     train, test = _scaled(spark, d)
-    return publish(NN.regress_positions(train, test, NN.MLP_PLAIN, method="MLP plain", decay=1e-3, rounds=20))
+    return publish(NN.regress_positions(train, test, NN.MLP_PLAIN, method="MLP plain", decay=1e-3))
 
 
 def nn_classification(spark, d):
@@ -102,11 +102,11 @@ def nn_classification(spark, d):
 
 def cnn_regression(spark, d):
     train, test = _scaled(spark, d)
-    return publish(NN.cnn_positions(train, test, 8, rounds=5))
+    return publish(NN.cnn_positions(train, test, 8))
 
 
 def autoencoder_chart(spark, d):
-    return publish(NN.autoencoder_chart(materialize(LZ.standardize(_points(spark, d))), rounds=8, rate=1e-3))
+    return publish(NN.autoencoder_chart(materialize(LZ.standardize(_points(spark, d))), rounds=300, patience=30, rate=1e-3))
 
 
 # ---------------------------------------------------------------- layouts
