@@ -11,7 +11,8 @@ The pattern tables are broadcast: benchmark suites are small, and their size is
 added up per document.
 
 Defined cases: null and empty texts have no words and are clean; items without words match nothing; repeated rows
-are each reported; repeated items count as one per item_id; extra columns stay, and of clashing names
+are each reported; repeated items count as one per item_id; items
+without item_id hit like any other and count together as one item, which is null among ``hit_items`` and so absent from the hashed names; extra columns stay, and of clashing names
 those of the operator win.
 """
 
@@ -70,6 +71,11 @@ def _blocks_of(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _ordered(items: set) -> list:
+    """Items in order, the one without id last."""
+    return sorted(items, key=lambda x: (x is None, x))
+
+
 class PatternTables:
     """Shift table and suffix buckets of patterns that have the same number of words."""
 
@@ -77,7 +83,7 @@ class PatternTables:
         self.length, self.size = length, min(2, length)
         texts = sorted(patterns)
         self.patterns = texts
-        self.items = [sorted(patterns[t]) for t in texts]
+        self.items = [_ordered(patterns[t]) for t in texts]
         t = Texts.of(pa.array([x.decode() for x in texts]))
         found = _blocks_of(t.hashes, self.size)
         last = np.arange(len(texts)) * length + length - 1
@@ -151,16 +157,16 @@ def _search_all(tables: list[PatternTables], t: Texts, n: int) -> tuple[list[lis
 
 def parts_of(benchmark: DataFrame, part_bytes: int) -> Iterator[pd.DataFrame]:
     """The items in parts whose texts have at most ``part_bytes`` bytes, one item at least."""
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     rows, held = [], 0
     for r in items.toLocalIterator():
         size = len(r["text"].encode())
         if rows and held + size > part_bytes:
-            yield pd.DataFrame(rows, columns=["item_id", "text"])
+            yield pd.DataFrame(rows, columns=["item_id", "text"], dtype=object)
             rows, held = [], 0
-        rows.append((r["item_id"], r["text"]))
+        rows.append((None if r["item_id"] is None else str(r["item_id"]), r["text"]))
         held += size
-    yield pd.DataFrame(rows, columns=["item_id", "text"])
+    yield pd.DataFrame(rows, columns=["item_id", "text"], dtype=object)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
@@ -186,10 +192,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_b
             for batch, texts in blocks(batches):
                 t = Texts.of(texts)
                 hit, items = _search_all(shared.value, t, len(texts))
-                items = [sorted(map(str, x)) for x in items]
+                items = [_ordered({None if i is None else str(i) for i in x}) for x in items]
                 if more:  # add to what earlier parts have found
                     hit = [sorted({*h.tolist(), *old}) for h, old in zip(hit, batch.column("hit_words").to_pylist())]
-                    items = [sorted({*x, *old}) for x, old in zip(items, batch.column("hit_items").to_pylist())]
+                    items = [_ordered({*x, *old}) for x, old in zip(items, batch.column("hit_items").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c) for c in keep],
