@@ -134,7 +134,10 @@ def _spans_sql(kind: int, pattern: str, group: int) -> str:
 ORACLES: dict[str, str] = {
     "op3_url_filter": f"""
         WITH h AS (SELECT page_id, {HOST} AS host FROM pages),
-        c AS (SELECT page_id, host, ts AS fetched_at FROM h LEFT JOIN events ON event_id = page_id),
+        c AS (
+            SELECT event_id, user_id AS page_id, host, ts AS fetched_at FROM events LEFT JOIN h ON page_id = user_id
+            UNION ALL
+            SELECT NULL, page_id, host, NULL FROM h WHERE page_id NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)),
         e AS (
             SELECT CASE WHEN event_type IN ('error', 'signup') THEN 'block' ELSE 'allow' END AS list,
                    CASE WHEN event_id % 7 = 0 THEN regexp_replace(host, '^[^.]+\\.', '') ELSE host END AS pattern,
@@ -143,16 +146,16 @@ ORACLES: dict[str, str] = {
         last AS (SELECT list, pattern, ts, arg_max(adds, event_id) AS adds FROM e GROUP BY ALL),
         v AS (SELECT *, lead(ts) OVER (PARTITION BY list, pattern ORDER BY ts) AS till FROM last),
         j AS (
-            SELECT page_id, list, pattern FROM c JOIN v ON adds AND ts <= fetched_at AND (till IS NULL OR fetched_at < till)
+            SELECT event_id, list, pattern FROM c JOIN v ON adds AND ts <= fetched_at AND (till IS NULL OR fetched_at < till)
                 AND (host = pattern OR ends_with(host, '.' || pattern)) AND contains(pattern, '.')),
         a AS (
-            SELECT page_id, count(*) AS n_active, arg_max(pattern, length(pattern)) FILTER (list = 'block') AS block_pattern,
+            SELECT event_id, count(*) AS n_active, arg_max(pattern, length(pattern)) FILTER (list = 'block') AS block_pattern,
                    arg_max(pattern, length(pattern)) FILTER (list = 'allow') AS allow_pattern
-            FROM j GROUP BY page_id)
-        SELECT page_id, host, fetched_at, coalesce(n_active, 0)::BIGINT AS n_active, block_pattern, allow_pattern,
+            FROM j GROUP BY event_id)
+        SELECT event_id, page_id, host, fetched_at, coalesce(n_active, 0)::BIGINT AS n_active, block_pattern, allow_pattern,
                CASE WHEN fetched_at IS NULL OR host IS NULL OR NOT contains(host, '.') THEN 'unknown'
                     WHEN length(block_pattern) > coalesce(length(allow_pattern), 0) THEN 'block' ELSE 'pass' END AS verdict
-        FROM c LEFT JOIN a USING (page_id)
+        FROM c LEFT JOIN a USING (event_id)
     """,
     "op4_secret_scan": f"""
         WITH d AS (
