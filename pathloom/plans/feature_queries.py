@@ -23,7 +23,7 @@ def _h(spark, d):
 
 
 def ofdm_response(spark, d):
-    return publish(O.frequency_table(_h(spark, d)).select("rx_id", "tx_id", "k", "h_re", "h_im", "magnitude", "gain_db"))
+    return publish(O.frequency_table(_h(spark, d)).select("rx_id", "tx_id", "k", "h_re", "h_im", "magnitude", "phase_deg", "gain_db"))
 
 
 def ofdm_mag_db(spark, d):
@@ -56,10 +56,16 @@ def cov_eig(spark, d):
     return publish(e.select("rx_id", "tx_id", *[F.col("eig")[i].alias(f"eig{i + 1}") for i in range(3)]))
 
 
-def cov_eig_two_antennas(spark, d):
-    """Two-element array, where both eigenvalues have a closed form."""
-    e = CV.covariance_eigenvalues(CV.covariance_lags(C.event_paths(spark, d), 2), 2)
-    return publish(e.select("rx_id", "tx_id", *[F.col("eig")[i].alias(f"eig{i + 1}") for i in range(2)]))
+def _power_sums(eig):
+    """Sum and sum of squares of eigenvalues: the traces of the matrix and of its square."""
+    total = F.aggregate(eig, F.lit(0.0), lambda a, v: a + v)
+    return [total.alias("eig_sum"), F.aggregate(eig, F.lit(0.0), lambda a, v: a + v * v).alias("eig_sum_sq")]
+
+
+def cov_eig_power_sums(spark, d):
+    """All 16 eigenvalues of every link."""
+    e = CV.covariance_eigenvalues(CV.covariance_lags(C.event_paths(spark, d), 16), 16)
+    return publish(e.select("rx_id", "tx_id", F.size("eig").alias("n_eig"), *_power_sums("eig")))
 
 
 def array_response(spark, d):
@@ -117,8 +123,9 @@ def feature_layout(spark, d):
 
 
 def best_path_database(spark, d):
-    db = FT.best_path_database(C.event_paths(spark, d), C.event_rx(spark, d), C.N_TX)
-    return publish(db.drop("eig").withColumn("reached", F.col("reached").cast("int")))
+    """The database of strongest paths with all eigenvalues, these as their power sums."""
+    db = FT.best_path_database(C.event_paths(spark, d), C.event_rx(spark, d), C.N_TX, n_eig=16)
+    return publish(db.select("*", *_power_sums("eig")).drop("eig").withColumn("reached", F.col("reached").cast("int")))
 
 
 def cosine_gram(spark, d):
@@ -154,20 +161,22 @@ def _cov(n: int) -> str:
     sum(amp*amp*sin({_ULA}*l))/({n}*sum(amp*amp)) AS im FROM paths CROSS JOIN range(0, {n}) r(l) GROUP BY rx_id, tx_id, l)"""
 
 
+_POWER = """pw AS (SELECT rx_id, tx_id, 16 * sum(re) FILTER (l = 0) AS eig_sum,
+    sum(CASE WHEN l = 0 THEN 16 ELSE 2 * (16 - l) END * (re*re + im*im)) AS eig_sum_sq FROM lg GROUP BY rx_id, tx_id)"""
 _TX_ROT = "CASE tx_id WHEN 0 THEN -75 WHEN 1 THEN 25 WHEN 2 THEN 125 WHEN 3 THEN 100 WHEN 4 THEN 125 END"
 
 QUERIES = {
     f.__name__: f
     for f in (
         ofdm_response, ofdm_mag_db, group_delay, unwrapped_phase, band_power, cov_trace_norm, cov_eig,
-        cov_eig_two_antennas, array_response, capon_doa, fingerprint_scalars, fingerprints, feature_layout,
+        cov_eig_power_sums, array_response, capon_doa, fingerprint_scalars, fingerprints, feature_layout,
         best_path_database, cosine_gram, strongest_gain,
     )
 }
 
 ORACLES = {
     "ofdm_response": f"""WITH {P}, {_H} SELECT rx_id, tx_id, k, {qs('h_re', 'h_im')}, {q('sqrt(h_re*h_re+h_im*h_im)', 'magnitude')},
-        {q('20.0::DOUBLE*log10(sqrt(h_re*h_re+h_im*h_im)+1e-30)', 'gain_db')} FROM h""",
+        {q('degrees(atan2(h_im, h_re))', 'phase_deg')}, {q('20.0::DOUBLE*log10(sqrt(h_re*h_re+h_im*h_im)+1e-30)', 'gain_db')} FROM h""",
     "ofdm_mag_db": f"WITH {P}, {_H} SELECT rx_id, tx_id, k, {q(_MAG, 'mag_db')} FROM h",
     "group_delay": f"""WITH {P}, {_H}, {_SLOPE} SELECT rx_id, tx_id, k, {q('CASE WHEN mag > 1e-5 AND pm > 1e-5 THEN greatest(-500, least(500, s)) ELSE 0 END', 'slope')}
         FROM st WHERE d IS NOT NULL""",
@@ -177,8 +186,7 @@ ORACLES = {
     "cov_trace_norm": f"""WITH {P}, {_cov(8)} SELECT rx_id, tx_id, CAST(m.m AS INTEGER) AS m, CAST(n.n AS INTEGER) AS n, {q('re', 're')},
         {q('CASE WHEN m.m > n.n THEN im WHEN m.m < n.n THEN -im ELSE 0 END', 'im')}
         FROM range(0, 8) m(m) CROSS JOIN range(0, 8) n(n) JOIN lg ON l = abs(m.m - n.n)""",
-    "cov_eig_two_antennas": f"""WITH {P}, {_cov(2)} SELECT rx_id, tx_id, {q('0.5 + sqrt(re*re+im*im)', 'eig1')}, {q('0.5 - sqrt(re*re+im*im)', 'eig2')}
-        FROM lg WHERE l = 1""",
+    "cov_eig_power_sums": f"""WITH {P}, {_cov(16)}, {_POWER} SELECT rx_id, tx_id, 16 AS n_eig, {qs('eig_sum', 'eig_sum_sq')} FROM pw""",
     "array_response": f"""WITH {P}, g AS (SELECT rx_id, tx_id, amp, pi()*sin(radians(az_deg - {_TX_ROT}))*cos(radians(el_deg)) AS px,
           pi()*sin(radians(az_deg - {_TX_ROT}))*sin(radians(el_deg)) AS py FROM paths)
         SELECT rx_id, tx_id, CAST(e.e AS INTEGER) AS el, {q('sum(amp*cos(px*(e.e//4) + py*(e.e%4)))', 're')}, {q('sum(amp*sin(px*(e.e//4) + py*(e.e%4)))', 'im')}
@@ -202,13 +210,14 @@ ORACLES = {
     "feature_layout": f"""WITH {RX}, w(grp, pos, width) AS (VALUES ('ofdm_mag_gd', 0, 5*(2*{FFT // STEP}-1)), ('tdoa', 1, 10), ('aoa', 2, 20), ('rss', 3, 5),
           ('path_loss', 4, 5), ('delay', 5, 5), ('cov_eigenvalues', 6, 15), ('reached_flags', 7, 5))
         SELECT grp, pos, width AS declared, width AS min_width, width AS max_width, (SELECT count(*) FROM rx) AS n_rx FROM w""",
-    "best_path_database": f"""WITH {P}, {RX}, lv AS (SELECT rx_id, tx_id, 10.0::DOUBLE*log10(sum(amp*amp)+1e-20)+30 AS rss FROM paths GROUP BY 1, 2),
+    "best_path_database": f"""WITH {P}, {RX}, {_cov(16)}, {_POWER}, lv AS (SELECT rx_id, tx_id, 10.0::DOUBLE*log10(sum(amp*amp)+1e-20)+30 AS rss FROM paths GROUP BY 1, 2),
         b AS (SELECT rx_id, tx_id, rss, -20.0::DOUBLE*log10(amp+1e-20) AS path_loss, delay_ns AS delay, az_deg AS az, el_deg AS el FROM paths JOIN lv USING (rx_id, tx_id)
           QUALIFY row_number() OVER (PARTITION BY rx_id, tx_id ORDER BY amp DESC, path_id) = 1),
         s AS (SELECT tx_id, min(rss) - 10 AS rss, max(path_loss) + 10 AS path_loss, avg(delay) AS delay, avg(az) AS az, avg(el) AS el FROM b GROUP BY tx_id)
         SELECT rx.rx_id, s.tx_id, CASE WHEN b.rss IS NULL THEN 0 ELSE 1 END AS reached,
-          {', '.join(q(f'coalesce(b.{c}, s.{c})', c) for c in ('rss', 'path_loss', 'delay', 'az', 'el'))}
-        FROM rx CROSS JOIN s LEFT JOIN b ON b.rx_id = rx.rx_id AND b.tx_id = s.tx_id""",
+          {', '.join(q(f'coalesce(b.{c}, s.{c})', c) for c in ('rss', 'path_loss', 'delay', 'az', 'el'))},
+          {', '.join(q(f'coalesce(pw.{c}, 0)', c) for c in ('eig_sum', 'eig_sum_sq'))}
+        FROM rx CROSS JOIN s LEFT JOIN b ON b.rx_id = rx.rx_id AND b.tx_id = s.tx_id LEFT JOIN pw ON pw.rx_id = rx.rx_id AND pw.tx_id = s.tx_id""",
     "cosine_gram": f"""WITH {P}, {_H}, m AS (SELECT rx_id, tx_id, k, {_MAG} AS v FROM h),
         nn AS (SELECT rx_id, tx_id, sqrt(sum(v*v)) + 1e-9 AS nrm FROM m GROUP BY 1, 2)
         SELECT a.rx_id, a.tx_id AS tx_i, b.tx_id AS tx_j, {q('sum(a.v*b.v) / (any_value(na.nrm)*any_value(nb.nrm))', 'cos')}

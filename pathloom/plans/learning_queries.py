@@ -10,10 +10,9 @@ from pathloom.operators import features as FT
 from pathloom.operators import localize as LZ
 from pathloom.operators import manifold as MF
 from pathloom.operators import nets as NN
-from pathloom.plans.common import publish, q, qs
+from pathloom.plans.common import publish, q
 from pathloom.plans.feature_queries import AXIS
-from pathloom.plans.path_queries import _GRID, _LINKS, P, RX
-from pathloom.plans.position_queries import _NN, _W, PT, _pct
+from pathloom.plans.position_queries import PT
 from pathloom.schema import GROUP_COLUMNS, group_widths
 from pathloom.session import materialize
 from pathloom.sources import carriers as C
@@ -34,10 +33,10 @@ def explained_variance(spark, d):
     return publish(MF.explained_variance(_points(spark, d), 64))
 
 
-def pca_two_columns(spark, d):
-    """Component variances of the first two columns, where they have a closed form."""
-    p = _points(spark, d).select("id", F.slice("vec", 1, 2).alias("vec"))
-    return publish(MF.explained_variance(p, 2))
+def pca_power_sums(spark, d):
+    """All component variances as their sum and their sum of squares: the traces of the covariance and of its square."""
+    v = MF.explained_variance(_points(spark, d), 64)
+    return publish(v.agg(F.count("*").alias("components"), F.sum("variance").alias("p1"), F.sum(F.col("variance") * F.col("variance")).alias("p2")))
 
 
 def pca_chart(spark, d):
@@ -164,31 +163,18 @@ def chart_from_pca(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        explained_variance, pca_two_columns, pca_chart, pca_distances, pca_whiten, wknn_whitened, cmds_chart,
+        explained_variance, pca_power_sums, pca_chart, pca_distances, pca_whiten, wknn_whitened, cmds_chart,
         feature_image, nn_regression, nn_regression_plain, nn_classification, cnn_regression, autoencoder_chart,
         chart_study, best_chart, paths_to_position, chart_from_pca,
     )
 }
 
 ORACLES = {
-    "pca_two_columns": f"""WITH {PT}, s AS (SELECT var_samp(vec[1]) AS a, var_samp(vec[2]) AS c, covar_samp(vec[1], vec[2]) AS b FROM points),
-        e AS (SELECT 1 AS component, (a+c)/2 + sqrt(pow((a-c)/2, 2) + b*b) AS v, a+c AS t FROM s UNION ALL SELECT 2, (a+c)/2 - sqrt(pow((a-c)/2, 2) + b*b), a+c FROM s)
-        SELECT component, {q('v', 'variance')}, {q('sum(v) OVER (ORDER BY component) / t', 'cumulative')} FROM e""",
+    "pca_power_sums": f"""WITH {PT}, u AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) AS dim FROM points),
+        c AS (SELECT a.dim AS i, b.dim AS j, covar_samp(a.v, b.v) AS v FROM u a JOIN u b USING (id) GROUP BY a.dim, b.dim)
+        SELECT count(*) FILTER (i = j) AS components, {q('sum(v) FILTER (i = j)', 'p1')}, {q('sum(v*v)', 'p2')} FROM c""",
     "pca_distances": f"""WITH {PT}, u AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) AS dim FROM points), m AS (SELECT dim, avg(v) AS mu FROM u GROUP BY dim)
         SELECT id, {q('sum((v-mu)*(v-mu))', 'r2')} FROM u JOIN m USING (dim) GROUP BY id""",
     "feature_image": f"""WITH {PT}, u AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS dim FROM points)
         SELECT id, CAST(dim // 7 AS INTEGER) AS tx, CAST(count(*) AS INTEGER) AS width, {q('sum(v)', 'total')} FROM u WHERE dim < 63 GROUP BY id, dim // 7""",
-    "paths_to_position": f"""WITH {P}, {RX}, {_LINKS}, {_GRID},
-        s AS (SELECT tx_id, min(rss) AS r FROM grid WHERE reached GROUP BY tx_id),
-        lg AS (SELECT g.rx_id, g.tx_id, CASE WHEN reached THEN rss ELSE coalesce(s.r - 10, -200) END AS rss, coalesce(sin_az, 0) AS sin_az, coalesce(cos_az, 0) AS cos_az,
-          coalesce(sin_el, 0) AS sin_el, coalesce(cos_el, 0) AS cos_el FROM grid g LEFT JOIN s USING (tx_id)),
-        f AS (SELECT rx_id, tx_id AS dim, sin_az AS v FROM lg UNION ALL SELECT rx_id, tx_id + 5, cos_az FROM lg UNION ALL SELECT rx_id, tx_id + 10, sin_el FROM lg
-          UNION ALL SELECT rx_id, tx_id + 15, cos_el FROM lg UNION ALL SELECT rx_id, tx_id + 20, rss FROM lg),
-        st AS (SELECT dim, avg(v) AS mu, stddev_pop(v) AS sd FROM f WHERE rx_id % 10 >= 3 GROUP BY dim),
-        sc AS (SELECT rx_id AS id, list((v-mu)/(CASE WHEN sd > 0 THEN sd ELSE 1 END)/sqrt(CASE WHEN dim < 20 THEN 20.0::DOUBLE ELSE 5.0::DOUBLE END) ORDER BY dim) AS vec
-          FROM f JOIN st USING (dim) GROUP BY rx_id),
-        points AS (SELECT id, vec, x, y, id % 10 < 3 AS is_test FROM sc JOIN rx ON rx_id = id), {_NN},
-        e AS (SELECT query_id, sqrt(pow(sum({_W}*nn.x)/sum({_W})-any_value(t.x), 2)+pow(sum({_W}*nn.y)/sum({_W})-any_value(t.y), 2)) AS err
-          FROM nn JOIN points t ON t.id = query_id WHERE rank <= 5 GROUP BY query_id)
-        SELECT 'WKNN (IDW)' AS method, {_pct()}, {q('min(err)', 'min_err')}, {q('max(err)', 'max_err')} FROM e""",
 }

@@ -373,7 +373,7 @@ ORACLES = {
     "ray_join": f"""SELECT l_orderkey AS rx_id, CAST(l_suppkey % 9 AS INTEGER) AS tx_id, {q('l_quantity::DOUBLE * 1e-9 / 1e-9', 'delay_ns')},
           {q('sqrt(pow(1.0::DOUBLE/l_extendedprice, 2) + pow(l_discount::DOUBLE/l_extendedprice, 2)) * 1e6', 'amp')},
           (l_partkey % 360)::DOUBLE AS az_deg, (l_linenumber % 181)::DOUBLE AS el_deg
-        FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)""",
+        FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""",
     "geometry_delay": f"""WITH {RX}, g AS (SELECT rx_id, CAST(t.tx_id AS INTEGER) AS tx_id, x, y, sqrt(pow(x - (t.tx_id*20.0::DOUBLE-40), 2) +
             pow(y - (t.tx_id * -15.0::DOUBLE + 30), 2) + 17.75::DOUBLE*17.75::DOUBLE) AS dist FROM rx CROSS JOIN range(0,5) t(tx_id))
         SELECT rx_id, tx_id, {q('dist / 299792458.0::DOUBLE / 1e-9', 'delay_ns')}, {q('20.0::DOUBLE*log10(1.0::DOUBLE/dist + 1e-20)', 'gain_db')},
