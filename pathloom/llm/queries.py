@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import (
     decontaminate,
     exact_dedup,
+    fill_middle,
+    language_id,
     near_dedup,
     packing,
     pii,
     secret_scan,
     sharding,
+    token_alignment,
     token_counts,
     toxicity,
     url_filter,
@@ -92,6 +95,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), benchmark)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return token_alignment.align_tokenizers(docs, digest=True)
+
+
+def held_out(doc_id: Column) -> Column:
+    """One document in three tells how good a fit is and is never learned from."""
+    return F.crc32(doc_id.cast("string")) % 3 == 1
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language_id.identify(docs, F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(documents(spark, sf_dir).select("doc_id", "text"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -105,6 +130,9 @@ QUERIES: dict[str, Query] = {
         op8_sharding,
         op9_pii,
         op10_decontamination,
+        op11_token_alignment,
+        op12_language_id,
+        op13_fill_middle,
     )
 }
 
@@ -226,4 +254,21 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op13_fill_middle": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+        u AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u,
+                   [('0x' || substr(d, 8 * k + 1, 8))::BIGINT for k in range(4)] AS h FROM t),
+        c AS (
+            SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (
+            SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a+1:b], '') AS m, array_to_string(u[b+1:], '') AS s FROM c)
+        SELECT doc_id, n::BIGINT AS n, form,
+               CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+    """,
 }

@@ -21,4 +21,4 @@ def test_query_matches_sql(spark, sf, name):
 
 def test_all_are_registered():
     assert {*q.QUERIES, "pipeline"} <= set(E.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 14))
