@@ -38,6 +38,7 @@ from pathloom.session import ensure_checkpoint_dir
 PART_PAIRS = 4 << 20
 FLUSH_PAIRS = 1 << 20
 BLOCK = 1 << 20  # bytes of text at once
+LINK_BYTES = 4 << 20  # of links at once
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 #: an id pair as one number: the id of A, then 16 bits of B
 B_BITS = 16
@@ -210,10 +211,18 @@ def groups_of(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _numbers(links: pa.Array) -> np.ndarray:
-    """The pair numbers of all rows of a batch, one after the other."""
-    ends = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1]
-    return np.frombuffer(links.buffers()[2] or b"", "<u4", (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, "<u4")
+def _numbers(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a batch with at most LINK_BYTES of links (one row at least): first and last row, pair numbers, and each row's end in them."""
+    links = batch.column("links")
+    ends = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1].astype(np.int64)
+    data = links.buffers()[2]
+    at = 0
+    while at < len(links):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + LINK_BYTES, "right")) - 1)
+        size = int(ends[stop] - ends[at])
+        numbers = np.frombuffer(data, "<u4", size // 4, ends[at]) if size else np.zeros(0, "<u4")
+        yield at, stop, numbers, (ends[at + 1 : stop + 1] - ends[at]) // 4
+        at = stop
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -228,8 +237,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             unique, back = np.unique(pair, return_inverse=True)
             return unique, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
 
-        for batch in batches:
-            unique, n = np.unique(_numbers(batch.column("links")), return_counts=True)
+        for numbers in (x for batch in batches for _, _, x, _ in _numbers(batch)):
+            unique, n = np.unique(numbers, return_counts=True)
             held.append((unique, n))
             size += len(unique)
             if size > FLUSH_PAIRS:
@@ -264,27 +273,27 @@ def look_up(aligned: DataFrame, counts: DataFrame, part_pairs: int = PART_PAIRS)
         order = np.argsort(pair)
         signed = np.where(table["best"].to_numpy(), -1, 1) * table["count"].to_numpy()
         shared = spark.sparkContext.broadcast((pair[order], signed[order]))
-        rows = rows.mapInArrow(_adder(shared, parts == 1), rows.schema)
-    return rows.drop("links")
+        last = part == parts - 1
+        schema = StructType([f for f in rows.schema if not (last and f.name == "links")])
+        rows = rows.mapInArrow(_adder(shared, schema.names), schema)
+    return rows
 
 
-def _adder(shared, whole: bool):
+def _adder(shared, names: list[str]):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, signed = shared.value
         for batch in batches:
-            links = _numbers(batch.column("links"))
-            at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-            value = signed[at] if len(pairs) else np.zeros(len(links), np.int64)
-            if not whole and len(pairs):
-                value = np.where(pairs[at] == links, value, 0)
-            to = np.cumsum(batch.column("n_links").to_numpy())
-            sums = np.append(0, np.cumsum(np.abs(value)))
-            best = np.append(0, np.cumsum(value < 0))
-            start = np.append(0, to[:-1]) if len(to) else to
-            columns = {c: batch.column(c) for c in batch.schema.names}
-            columns["n_best"] = pa.array(batch.column("n_best").to_numpy() + best[to] - best[start], pa.int64())
-            columns["count_sum"] = pa.array(batch.column("count_sum").to_numpy() + sums[to] - sums[start], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            columns = {c: batch.column(c) for c in names}
+            best, total = batch.column("n_best").to_numpy().copy(), batch.column("count_sum").to_numpy().copy()
+            for at, stop, numbers, ends in _numbers(batch) if len(pairs) else ():
+                place = np.minimum(np.searchsorted(pairs, numbers), len(pairs) - 1)
+                value = np.where(pairs[place] == numbers, signed[place], 0)
+                begins = np.append(0, ends[:-1])
+                for out, v in ((total, np.abs(value)), (best, value < 0)):
+                    sums = np.append(0, np.cumsum(v))
+                    out[at:stop] += sums[ends] - sums[begins]
+            columns |= {"n_best": pa.array(best, pa.int64()), "count_sum": pa.array(total, pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     return add
 
