@@ -5,9 +5,7 @@ largest first. Each piece is a sequence of its own; sequences of equal length fo
 one shape are read. All of it is one pass over the documents; nothing shuffles. Sequence numbers are unique but not
 gapless; they hold for one evaluation, so write the result before using them twice.
 
-The library encodes each distinct stretch between single spaces or line feeds once for a worker: this vocabulary's pre-tokens never
-hold white space after another character, so a text's ids are those of its stretches in turn. The memory of stretches is
-bounded and starts anew when full.
+Ids come from ``tokenizers_io.ByteBpe``, text by text; nothing is remembered between texts, so memory is that of one block of texts.
 
 Defined cases: null and empty texts have the end id alone, one piece of length 1; a repeated row is packed as often as it occurs;
 an empty table gives no piece; of extra columns none is returned.
@@ -15,82 +13,19 @@ an empty table gives no piece; of extra columns none is returned.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import blocks
+from pathloom.llm.tokenizers_io import ByteBpe
 
 SEQUENCE = 2048
 END_ID = 1
-MEMORY_STRETCHES = 1_200_000
-LONGEST_STRETCH = 64
-#: a place where one pre-token ends for certain: one space between other characters
-BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-#: where a text holds one of these it is cut with care: white space next to white space, or other than space and line feed
-ODD = ["  ", "\n\n", " \n", "\n ", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
-ODD_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def stretches(text: str) -> list[str]:
-    """Pieces that the library encodes independently, each without the space before it.
-
-    A piece that has no space before it begins with a line feed, or with NUL, which is not part of it.
-    """
-    odd = any(x in text for x in ODD) or text[:1].isspace() or text[-1:].isspace()
-    if odd or not text.isascii() and ODD_BLANK.search(text):
-        first, *rest = BETWEEN.split(text)
-        return ["\0" + first, *[x[1:] if x[0] == " " else "\0" + x for x in rest]]
-    return ("\0" + text).replace("\n", " \n").split(" ")
-
-
-class StretchEncoder:
-    """Ids of stretches as little-endian 32-bit bytes, remembered."""
-
-    def __init__(self, path: str):
-        # one thread for a task: Spark has one for every core
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MEMORY_STRETCHES:
-            self.known.clear()
-        cut = [stretches(t) for t in texts]
-        found = [list(map(self.known.get, x)) for x in cut]
-        new = list({s for x, y in zip(cut, found) if None in y for s, v in zip(x, y) if v is None})
-        if new:
-            # a line feed or NUL marks that no space belongs before a piece
-            plain = [s if s[:1] == "\n" else s[1:] if s[:1] == "\0" else " " + s for s in new]
-            encoded = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-            self.known.update((s, array("I", e.ids).tobytes()) for s, e in zip(new, encoded))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, x) if None in y else y) for x, y in zip(cut, found)]
-        for s in new:
-            if len(s) > LONGEST_STRETCH:
-                del self.known[s]
-        return out
-
-
-_encoders: dict[str, StretchEncoder] = {}
-
-
-def encoder(path: str) -> StretchEncoder:
-    if path not in _encoders:
-        _encoders[path] = StretchEncoder(path)
-    return _encoders[path]
 
 
 def decompose(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,12 +41,12 @@ def decompose(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, longest: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece, and its ids if asked for. Nothing shuffles."""
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ByteBpe(vocabulary)
         for batch, texts in blocks(batches):
-            ids = [x + end for x in encoder(path).encode(texts.to_pylist())]
+            ids = [encoder.encode(x).tobytes() + end for x in texts.to_pylist()]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             doc, start, length = decompose(n, longest)
             parts = [
