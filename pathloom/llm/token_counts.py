@@ -1,14 +1,15 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-A text of at most CHUNK characters is encoded at once. A longer one is cut into chunks of CHUNK characters
-that overlap. Each chunk is encoded with offsets; in the overlap, both encodings are searched for
-a common boundary that is proven stable: white space, which no token of this vocabulary holds and at which both encodings have
-a token end, with equal tokens around it. The left encoding counts up to it and the right one from it on. Where the overlap
-holds no such place, it is widened until it does or the text ends, so a text without white space is
-one chunk. Chunks may be cut within a word; the cut pieces lie outside of the splice.
+A text of more than CHUNK characters is encoded by the library in chunks that overlap, each with ids and offsets. In the overlap, both encodings
+are searched for a common boundary that is proven stable: two tokens on end, with white space between them, that both encodings give
+with the same ids and the same offsets. White space is never inside a token and separates what the library encodes
+independently, so tokens before such a place do not depend on what follows, nor those behind it on what precedes; a word cut by the edge of a
+chunk has other tokens or offsets, or no neighbour in one of them. The left encoding counts up to the boundary, the right one from
+there on. Where the overlap holds none, it is doubled until it does; once it reaches the start of the left chunk, the longer encoding
+takes the place of the left one, so a text without white space ends as one chunk.
 
-The library encodes each distinct word once for a worker: white space separates what it encodes independently,
-so a chunk's tokens are those of its words in turn. The memory of words is bounded and starts anew when full.
+Texts of at most CHUNK characters are counted word by word: the words between white space, each distinct one encoded once for a task, in a
+memory that starts anew when it holds MEMORY_BYTES. It is dropped when the task ends.
 
 Defined cases: null and empty texts have 0 tokens; special strings within a text are handled as the
 library does by default; rows and extra columns stay, and of clashing names those of the operator win.
@@ -17,8 +18,10 @@ library does by default; rows and extra columns stay, and of clashing names thos
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
@@ -29,8 +32,8 @@ from pathloom.llm.common import blocks, keep_columns
 
 CHUNK = 1 << 15  # characters
 OVERLAP = 256
-MEMORY_WORDS = 300_000
-LONGEST_WORD = 64  # longer ones are encoded but not remembered
+MEMORY_BYTES = 64 << 20
+ENTRY_BYTES = 160  # of a word in the memory, beside its characters
 BLANK = re.compile(r"[ \t-\r]+")
 #: white space to str.split that is not ASCII white space to the library, or may not be
 ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -44,79 +47,87 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+class Tokens(NamedTuple):
+    """Ids with their character offsets in the whole text."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def behind(self, place: int) -> "Tokens":
+        return Tokens(*(x[int(np.searchsorted(self.starts, place)) :] for x in self))
+
+
+#: text of a chunk to its ids and offsets
+Encode = Callable[[str], tuple[list[int], list[tuple[int, int]]]]
+
+
+def common_boundary(left: Tokens, right: Tokens) -> int | None:
+    """The last start of a token that both encodings have, with the same token before it and a gap between the two."""
+    if len(left.ids) < 2 or len(right.ids) < 2:
+        return None
+    _, at, to = np.intersect1d(left.starts[1:], right.starts[1:], assume_unique=False, return_indices=True)
+    good = left.ends[at] < left.starts[at + 1]
+    for k in (0, 1):  # the token before the boundary and the one behind it
+        for a, b in zip(left, right):
+            good &= a[at + k] == b[to + k]
+    return int(left.starts[at[good][-1] + 1]) if good.any() else None
+
+
+def count_long(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of a text, from overlapping chunks spliced at common boundaries."""
+
+    def tokens(start: int, stop: int) -> Tokens:
+        ids, offsets = encode(text[start:stop])
+        place = np.array(offsets, np.int64).reshape(-1, 2) + start
+        return Tokens(np.array(ids, np.int64), place[:, 0], place[:, 1])
+
+    total, start, stop = 0, 0, min(len(text), chunk)
+    left = tokens(start, stop)
+    while stop < len(text):
+        wide = overlap
+        while True:
+            low = max(start, stop - wide)
+            high = min(len(text), stop + max(chunk, stop - low))
+            right = tokens(low, high)
+            if low == start:
+                left = right  # the longer encoding of the same beginning
+                break
+            place = common_boundary(left, right)
+            if place is not None:
+                total += int(np.searchsorted(left.starts, place))
+                start, left = place, right.behind(place)
+                break
+            wide *= 2
+        stop = high
+    return total + len(left.ids)
+
+
 class WordCounter:
-    """Encodes words with the library and remembers how many tokens each has."""
+    """Encodes with the library and remembers how many tokens a word has; one for a task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.memory, self.size = memory, 0
         self.known: dict[str, int] = {}
-        self.long: list[str] = []
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that are not known yet."""
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
+        """Encode the words that are not known yet; afterwards all of ``words`` are."""
+        if self.size > self.memory:
+            self.known, self.size = {}, 0
         new = [w for w in words if w not in self.known]
         if new:
             encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             self.known.update(zip(new, map(len, encoded)))
-            self.long += [w for w in new if len(w) > LONGEST_WORD]
-
-    def forget_long(self) -> None:
-        for w in self.long:
-            self.known.pop(w, None)
-        self.long = []
-
-    def chunk(self, text: str, start: int, stop: int) -> list[tuple[int, int]]:
-        """Start and token count of every word of a chunk."""
-        found = [(start + m.start(), m.group()) for m in re.finditer(r"[^ \t-\r]+", text[start:stop])]
-        self.learn({w for _, w in found})
-        return [(at, self.known[w]) for at, w in found]
-
-    def long_text(self, text: str, chunk: int, overlap: int) -> int:
-        """Tokens of a text, from overlapping chunks spliced at common boundaries."""
-        total, counted_to, start = 0, 0, 0
-        while True:
-            stop = min(len(text), start + chunk)
-            left = self.chunk(text, start, stop)
-            if stop == len(text):
-                return total + sum(n for at, n in left if at >= counted_to)
-            wide = overlap
-            while True:
-                # the next chunk begins inside this one; where nothing aligns, both reach further
-                low = max(counted_to, stop - wide)
-                splice = self._common(left, self.chunk(text, low, min(len(text), stop + wide)), low, stop)
-                if splice is not None:
-                    total += sum(n for at, n in left if counted_to <= at < splice)
-                    counted_to = start = splice
-                    break
-                if stop == len(text):
-                    return total + sum(n for at, n in left if at >= counted_to)
-                wide *= 2
-                stop = min(len(text), stop + wide)
-                left = self.chunk(text, start, stop)
-
-    @staticmethod
-    def _common(left: list[tuple[int, int]], right: list[tuple[int, int]], low: int, stop: int) -> int | None:
-        """A word start in the overlap from which both encodings agree; cut words at both ends don't count."""
-        inner = [x for x in left if x[0] > low][:-1]
-        other = {x for x in right if low < x[0] < stop}
-        good = [at for at, n in inner if (at, n) in other]
-        return good[-1] if good else None
-
-
-_counters: dict[str, WordCounter] = {}
-
-
-def counter(path: str) -> WordCounter:
-    """One for each worker process; it outlives the task."""
-    if path not in _counters:
-        _counters[path] = WordCounter(path)
-    return _counters[path]
+            self.size += ENTRY_BYTES * len(new) + sum(map(len, new))
+
+    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return found.ids, found.offsets
 
 
 def count_tokens(
@@ -136,7 +147,7 @@ def count_tokens(
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = counter(path)
+        words_of = WordCounter(path)
         for batch, texts in blocks(batches):
             rows, seen = [], set()
             for text in texts.to_pylist():
@@ -147,8 +158,7 @@ def count_tokens(
             words_of.learn(seen)
             known = words_of.known
             n = [sum(map(known.__getitem__, x)) if isinstance(x, list) else -1 for x in rows]
-            n = [words_of.long_text(x, chunk, overlap) if k < 0 else k for k, x in zip(n, rows)]
-            words_of.forget_long()
+            n = [count_long(x, words_of.encode, chunk, overlap) if k < 0 else k for k, x in zip(n, rows)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in keep],

@@ -1,6 +1,7 @@
 """Token counts and packing against the libraries, on awkward texts and on the smallest tables."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +42,60 @@ def test_counts_are_the_library_s(frame, chunk, overlap):
         assert r["n_bytes"] == len(texts[r["doc_id"]].encode()) and r["over_limit"] == (want > 2048)
 
 
+class Stub:
+    """Pairs of characters of every word; the first words of what it is given come out character by character."""
+
+    def __init__(self, spoiled):
+        self.spoiled, self.seen = spoiled, []
+
+    def __call__(self, text):
+        self.seen.append(len(text))
+        ids, offsets = [], []
+        for i, m in enumerate(re.finditer(r"\S+", text)):
+            step = 1 if i < self.spoiled else 2
+            for k in range(m.start(), m.end(), step):
+                offsets.append((k, min(k + step, m.end())))
+                ids.append(hash(text[slice(*offsets[-1])]))
+        return ids, offsets
+
+
+@pytest.mark.parametrize("spoiled", [0, 2, 9, 400])
+def test_overlap_widens_until_both_agree(spoiled):
+    r = random.Random(spoiled)
+    text = " ".join("".join(r.choice("abc") for _ in range(r.randint(2, 9))) for _ in range(600))
+    stub = Stub(spoiled)
+    whole = len(stub(text)[0])
+    stub.seen.clear()
+    assert token_counts.count_long(text, stub, chunk=200, overlap=16) == whole
+    # an overlap that never agrees ends in one encoding of the whole; one that does keeps chunks small
+    assert (max(stub.seen) == len(text)) == (spoiled == 400)
+
+
+def test_text_without_white_space_is_one_chunk():
+    stub = Stub(0)
+    assert token_counts.count_long("ab" * 5000, stub, chunk=200, overlap=16) == 5000
+    assert max(stub.seen) == 10000 and sum(stub.seen) < 5 * 10000
+
+
+def test_boundary_needs_equal_ids_and_offsets_on_both_sides():
+    t = lambda *x: token_counts.Tokens(*(np.array(c) for c in zip(*x)))
+    left = t((1, 0, 2), (2, 3, 5), (3, 6, 8), (4, 9, 10))
+    assert token_counts.common_boundary(left, t((2, 3, 5), (3, 6, 8), (9, 9, 12))) == 6
+    assert token_counts.common_boundary(left, t((7, 3, 5), (3, 6, 8), (9, 9, 12))) is None  # another id before
+    assert token_counts.common_boundary(left, t((2, 4, 5), (3, 6, 8), (9, 9, 12))) is None  # another offset before
+    assert token_counts.common_boundary(t((2, 3, 6), (3, 6, 8)), t((2, 3, 6), (3, 6, 8))) is None  # no white space between
+
+
+def test_memory_of_words_starts_anew(frame):
+    import public_tokenizers
+
+    words = token_counts.WordCounter(public_tokenizers.path("word_bpe_49k.json"), memory=1000)
+    for r in frame.limit(50).collect():
+        found = set(token_counts.split_words(r["text"] or ""))
+        words.learn(found)
+        assert found <= set(words.known)
+
+
 def test_counts_keep_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "x y", 5), (1, "x y", 5), (None, None, None)], "doc_id long, text string, n_tokens int")
     got = token_counts.count_tokens(df)
