@@ -82,25 +82,26 @@ def count_long(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVE
         place = np.array(offsets, np.int64).reshape(-1, 2) + start
         return Tokens(np.array(ids, np.int64), place[:, 0], place[:, 1])
 
-    total, start, stop = 0, 0, min(len(text), chunk)
-    left = tokens(start, stop)
+    origin, total, start, stop = 0, 0, 0, min(len(text), chunk)  # origin: where the left encoding begins; start: what is counted so far
+    left = tokens(origin, stop)
     while stop < len(text):
         wide = overlap
         while True:
-            low = max(start, stop - wide)
+            low = max(origin, stop - wide)
             high = min(len(text), stop + max(chunk, stop - low))
             right = tokens(low, high)
-            if low == start:
+            if low == origin:
                 left = right  # the longer encoding of the same beginning
                 break
-            place = common_boundary(left, right)
+            open_left = left.behind(start)
+            place = common_boundary(open_left, right)
             if place is not None:
-                total += int(np.searchsorted(left.starts, place))
-                start, left = place, right.behind(place)
+                total += int(np.searchsorted(open_left.starts, place))
+                origin, start, left = low, place, right
                 break
             wide *= 2
         stop = high
-    return total + len(left.ids)
+    return total + len(left.behind(start).ids)
 
 
 class WordCounter:
