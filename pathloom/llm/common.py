@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -96,6 +98,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def give_back() -> None:
+    """Return freed memory to the system after large work in the driver's Python, which shares one limit with its JVM."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def keep_columns(docs: DataFrame, *added: str) -> list[str]:
     """Columns of the input that do not clash with what an operator adds."""
     return [c for c in docs.columns if c not in added]

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pathloom.llm.common import BASE, blocks, keep_columns, mix
+from pathloom.llm.common import BASE, blocks, give_back, keep_columns, mix
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_ROWS = 1500  # of each language
@@ -279,6 +279,7 @@ def identify(
     """``docs`` without ``text`` plus lang_pred and score; fitted on the rows of ``docs`` where ``learnable`` holds."""
     pieces = Pieces.load(vocabulary or public_tokenizers.path(VOCABULARY))
     names, prob = learn(word_counts(sample_texts(docs, learnable, rows)), pieces, rounds)
+    give_back()
     added = ("lang_pred", "score")
     keep = keep_columns(docs, "text", *added)
     schema = StructType(

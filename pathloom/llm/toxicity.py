@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pathloom.llm.common import blocks, bounded_sample, mix, spans
+from pathloom.llm.common import blocks, bounded_sample, give_back, mix, spans
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
@@ -209,7 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_
     ids = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * per_class rows of two numbers
     rows = docs.filter(F.length("text").between(1, MAX_CHARS)).join(ids, "doc_id").select("doc_id", "text", "toxic")
     found = {(r["doc_id"], r["text"]): r["toxic"] for r in rows.collect()}
-    return fit_calibrated([t for _, t in sorted(found)], np.array([found[x] for x in sorted(found)]))
+    model = fit_calibrated([t for _, t in sorted(found)], np.array([found[x] for x in sorted(found)]))
+    del found, rows
+    give_back()
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:

@@ -43,7 +43,7 @@ def test_counts_are_the_library_s(frame, chunk, overlap):
 
 
 class Stub:
-    """Pairs of characters of every word; the first words of what it is given come out character by character."""
+    """Pairs of characters of every word; the first words of what it is given come out as single characters, with ids of their own for each place."""
 
     def __init__(self, spoiled):
         self.spoiled, self.seen = spoiled, []
@@ -55,7 +55,7 @@ class Stub:
             step = 1 if i < self.spoiled else 2
             for k in range(m.start(), m.end(), step):
                 offsets.append((k, min(k + step, m.end())))
-                ids.append(hash(text[slice(*offsets[-1])]))
+                ids.append(hash((text[slice(*offsets[-1])], i if i < self.spoiled else -1)))
         return ids, offsets
 
 
