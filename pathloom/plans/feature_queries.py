@@ -18,32 +18,31 @@ FFT, STEP = 3168, 16  # 198 kept subcarriers over 95 MHz
 AXIS = dict(fft_size=FFT, spacing_hz=30e3, fc=3.6e9, step=STEP)
 
 
-def _h(spark, d):
-    return O.ofdm_response(C.event_paths(spark, d), **AXIS)
+def _band(spark, d):
+    return O.band_response(C.event_paths(spark, d), **AXIS)
 
 
 def ofdm_response(spark, d):
-    return publish(O.frequency_table(_h(spark, d)).select("rx_id", "tx_id", "k", "h_re", "h_im", "magnitude", "phase_deg", "gain_db"))
+    return publish(O.frequency_table(O.long_form(_band(spark, d), STEP, "h_re", "h_im")).select("rx_id", "tx_id", "k", "h_re", "h_im", "magnitude", "phase_deg", "gain_db"))
 
 
 def ofdm_mag_db(spark, d):
-    return publish(O.magnitude_db(_h(spark, d)))
+    return publish(O.long_form(O.band_features(_band(spark, d)), STEP, "mag_db"))
 
 
 def group_delay(spark, d):
-    return publish(O.phase_slope(_h(spark, d)).filter("slope is not null").select("rx_id", "tx_id", "k", "slope"))
+    steps = O.long_form(O.band_features(_band(spark, d)), STEP, "slope")
+    return publish(steps.withColumn("k", F.col("k") + STEP))  # a step is named by its upper subcarrier
 
 
 def unwrapped_phase(spark, d):
-    return publish(O.phase_slope(_h(spark, d)).select("rx_id", "tx_id", "k", "unwrapped"))
+    return publish(O.long_form(O.band_features(_band(spark, d)), STEP, "unwrapped"))
 
 
 def band_power(spark, d):
     """Mean channel power per subcarrier and transmitter."""
-    h = _h(spark, d)
-    return publish(
-        h.groupBy("tx_id", "k").agg(X.power_to_db(F.avg(F.col("h_re") * F.col("h_re") + F.col("h_im") * F.col("h_im"))).alias("power_db"))
-    )
+    p = O.mean_power(_band(spark, d), F.col("tx_id")).select("tx_id", F.posexplode("power").alias("i", "p"))
+    return publish(p.select("tx_id", (F.col("i") * STEP).cast("int").alias("k"), X.power_to_db(F.col("p")).alias("power_db")))
 
 
 def cov_trace_norm(spark, d):
@@ -129,10 +128,7 @@ def best_path_database(spark, d):
 
 
 def cosine_gram(spark, d):
-    h = O.magnitude_db(_h(spark, d))
-    by = h.groupBy("rx_id", "tx_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("k", "mag_db"))), lambda e: e["mag_db"]).alias("ofdm")
-    )
+    by = O.band_features(_band(spark, d)).select("rx_id", "tx_id", F.col("mag_db").alias("ofdm"))
     return publish(FT.cosine_gram(by, C.N_TX))
 
 

@@ -108,19 +108,33 @@ def test_match_brute_force(spark, shift):
 def test_ofdm_and_slope(spark):
     p = paths(spark, [(1, 0, 1, 100.0, 0.01), (1, 0, 2, 130.0, 0.004), (2, 0, 3, 50.0, 1e-7)])
     h = O.ofdm_response(p, 64, 30e3, 3.6e9, 4)
+    band = O.band_response(p.repartition(3), 64, 30e3, 3.6e9, 4)
     rows = sorted((r["k"], r["h_re"], r["h_im"]) for r in h.filter("rx_id = 1").collect())
     k = np.arange(0, 64, 4)
     f = (k - 32.0) * 30e3 + 3.6e9
     want = 0.01 * np.exp(-2j * np.pi * f * 100e-9) + 0.004 * np.exp(-2j * np.pi * f * 130e-9)
     assert np.allclose([complex(r[1], r[2]) for r in rows], want, atol=1e-12)
-    s = sorted((r["k"], r["unwrapped"], r["slope"]) for r in O.phase_slope(h).filter("rx_id = 1").collect() if r["slope"] is not None)
+    s = {r["rx_id"]: r for r in O.band_features(band).collect()}
     ph = np.unwrap(np.angle(want))
-    assert np.allclose([r[1] for r in s], ph[1:]) and np.allclose([r[2] for r in s], np.diff(ph))
-    assert {r["slope"] for r in O.phase_slope(h).filter("rx_id = 2 and k > 0").collect()} == {0.0}
-    feats = O.ofdm_features(h).filter("rx_id = 1").first()["ofdm"]
+    assert np.allclose(s[1]["unwrapped"], ph) and np.allclose(s[1]["slope"], np.diff(ph))
+    assert set(s[2]["slope"]) == {0.0}
+    feats = O.ofdm_features(band).filter("rx_id = 1").first()["ofdm"]
     assert len(feats) == 2 * 16 - 1 and feats[0] == pytest.approx(20 * math.log10(abs(want[0]) + 1e-6))
 
 
+def test_hot_link_and_empty_band(spark):
+    rows = [(1, 0, i, 10.0 + i * 0.01, 1e-3) for i in range(7000)] + [(2, 1, 7001, 50.0, 0.2)]
+    band = O.band_response(paths(spark, rows).repartition(6), 64, 30e3, 3.6e9, 4)
+    f = (np.arange(0, 64, 4) - 32.0) * 30e3 + 3.6e9
+    want = sum(1e-3 * np.exp(-2j * np.pi * f * r[3] * 1e-9) for r in rows[:7000])
+    got = {r["rx_id"]: r for r in band.collect()}
+    assert set(got) == {1, 2} and np.allclose(np.array(got[1]["h_re"]) + 1j * np.array(got[1]["h_im"]), want, atol=1e-10)
+    power = {r["tx_id"]: r["power"] for r in O.mean_power(band, F.col("tx_id")).collect()}
+    assert np.allclose(power[0], abs(want) ** 2) and np.allclose(power[1], 0.04)
+    empty = O.band_response(paths(spark, rows).limit(0), 64, 30e3, 3.6e9, 4)
+    assert empty.count() == 0 and O.ofdm_features(empty).count() == 0
+
+
 def test_covariance(spark):
     rng = np.random.default_rng(5)
     rows = [(1, 0, i, 1.0, float(rng.uniform(0.1, 1)), float(rng.uniform(-90, 90)), float(rng.uniform(10, 170))) for i in range(6)]
