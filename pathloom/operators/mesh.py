@@ -33,22 +33,34 @@ def building_ways(ways: DataFrame) -> DataFrame:
 
 
 def chain_segments(segments: list[list[str]]) -> list[str]:
-    """Join way segments end to end into one ring; pieces that fit nowhere are appended."""
-    ring, rest = list(segments[0]), [list(s) for s in segments[1:]]
-    while rest:
-        for n, s in enumerate(rest):
-            head, tail = ring[0], ring[-1]
-            if tail in (s[0], s[-1]):
-                ring += (s if s[0] == tail else s[::-1])[1:]
-            elif head in (s[0], s[-1]):
-                ring = (s if s[-1] == head else s[::-1])[:-1] + ring
-            else:
-                continue
-            rest.pop(n)
-            break
-        else:
-            return ring + [r for s in rest for r in s]
-    return ring
+    """Walk the graph whose nodes are segment ends and whose edges are segments, from the first one forwards, then backwards.
+
+    At a node the earliest unused segment is taken; a closed ring is used up on the way forwards. Segments that the walk
+    does not reach are appended as they are. Linear in the number of segments.
+    """
+    at_node: dict[str, list[int]] = {}
+    for number in range(len(segments) - 1, 0, -1):  # the earliest is on top
+        for node in {segments[number][0], segments[number][-1]}:
+            at_node.setdefault(node, []).append(number)
+    unused = set(range(1, len(segments)))
+
+    def walk(node: str) -> list[str]:
+        passed: list[str] = []
+        stack = at_node.get(node, [])
+        while stack:
+            number = stack.pop()
+            if number in unused:
+                unused.discard(number)
+                way = segments[number] if segments[number][0] == node else segments[number][::-1]
+                passed.extend(way[1:])
+                node = way[-1]
+                stack = at_node[node]
+        return passed
+
+    ahead = walk(segments[0][-1])
+    behind = walk(segments[0][0])
+    left = [node for number in sorted(unused) for node in segments[number]]
+    return [*reversed(behind), *segments[0], *ahead, *left]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

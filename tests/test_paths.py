@@ -164,6 +164,25 @@ def test_capon_finds_the_arrival(spark):
     assert turned["az_deg"] == pytest.approx(20.0, abs=1.0)
 
 
+def test_capon_by_definition():
+    rng = np.random.default_rng(4)
+    truth = np.array([(30.0, 20.0), (-40.0, 35.0), (12.5, -60.0), (70.0, 5.0)])
+    waves = CV.steering(truth[:, 0], truth[:, 1], 6, 0.5).reshape(-1, 6, 6)
+    noise = 0.02 * (rng.normal(size=waves.shape) + 1j * rng.normal(size=waves.shape))
+    got = CV.capon_batch(waves + noise, 4)
+    assert np.abs(got[:, :2] - truth).max() <= 1.5
+    for response, row in zip(waves + noise, got):  # against one link at a time, term by term
+        r = np.zeros((16, 16), complex)
+        for i in range(3):
+            for j in range(3):
+                w = response[i : i + 4, j : j + 4].ravel()
+                r += np.outer(w, w.conj()) / 9
+        inv = np.linalg.inv(r + 1e-2 * np.eye(16))
+        power = lambda az, el: 1 / np.real(np.vdot(CV.steering(np.array(az), np.array(el), 4, 0.5), inv @ CV.steering(np.array(az), np.array(el), 4, 0.5)))
+        near = [(row[0] + a, row[1] + e) for a in (-0.5, 0, 0.5) for e in (-0.5, 0, 0.5)]
+        assert power(row[0], row[1]) == max(power(*p) for p in near)
+
+
 def test_fingerprint_layout(spark, sf):
     from pathloom.sources import carriers as C
 

@@ -48,6 +48,10 @@ def test_osm_to_meshes(spark, tmp_path):
 def test_rings():
     assert G.chain_segments([["a", "b"], ["c", "b"], ["c", "d"], ["a", "z"]]) == ["z", "a", "b", "c", "d"]
     assert G.chain_segments([["a", "b"], ["x", "y"]]) == ["a", "b", "x", "y"]
+    closed = G.chain_segments([["a", "b", "c"], ["e", "d", "c"], ["e", "a"]])
+    assert closed == ["a", "b", "c", "d", "e", "a"]
+    many = [[str(i), str(i + 1)] if i % 3 else [str(i + 1), str(i)] for i in range(5000)]
+    assert G.chain_segments(many[2500:] + many[:2500][::-1]) == [str(i) for i in range(5001)]
 
 
 def test_polygons(spark):
