@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import charts as CH
 from pathloom.operators import evaluate as EV
 from pathloom.operators import features as FT
+from pathloom.operators import graph as GR
 from pathloom.operators import localize as LZ
 from pathloom.operators import manifold as MF
 from pathloom.operators import nets as NN
@@ -73,6 +74,18 @@ def cmds_chart(spark, d):
     return publish(MF.cmds_chart(_points(spark, d)))
 
 
+def laplacian_chart(spark, d):
+    """The spectral chart of the neighbour graph of all points."""
+    return publish(GR.spectral_chart(_points(spark, d))[0])
+
+
+def laplacian_spectrum(spark, d):
+    """Leading eigenvalues of the graph behind that chart, with residuals."""
+    found = GR.leading_eigenvectors(GR.neighbour_graph(_points(spark, d)), 3)
+    rows = [(i + 1, float(v), float(r)) for i, (v, r) in enumerate(zip(found.values, found.residuals))]
+    return publish(spark.createDataFrame(rows, "component int, eigenvalue double, residual double"))
+
+
 def feature_image(spark, d):
     """Vectors reshaped to nine rows (a remainder is dropped): sum per image row."""
     p = FT.to_image(_points(spark, d), 9)
@@ -164,6 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         explained_variance, pca_power_sums, pca_chart, pca_distances, pca_whiten, wknn_whitened, cmds_chart,
+        laplacian_chart, laplacian_spectrum,
         feature_image, nn_regression, nn_regression_plain, nn_classification, cnn_regression, autoencoder_chart,
         chart_study, best_chart, paths_to_position, chart_from_pca,
     )
