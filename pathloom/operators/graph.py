@@ -151,3 +151,87 @@ def spectral_chart(points: DataFrame, dims: int = 2, neighbours: int = NEIGHBOUR
     # ties to the smaller id, so that the sign does not depend on the order of rows
     far = z.agg(*[F.max_by(f"z{i}", F.struct(F.abs(F.col(f"z{i}")), -F.col("id"))).alias(f"z{i}") for i in range(1, dims + 1)]).first()
     return z.select("id", *[(F.col(f"z{i}") * (-1.0 if (far[f"z{i}"] or 0.0) < 0 else 1.0)).alias(f"z{i}") for i in range(1, dims + 1)]), found
+
+
+# ---------------------------------------------------------------- geodesic chart
+LANDMARKS = 64
+
+
+def distance_graph(points: DataFrame, neighbours: int = NEIGHBOURS, **plan) -> DataFrame:
+    """edges(src, dst, w) in both directions, as long as the two points are apart; a pair that both sides name stands once."""
+    near = knn_join(points, points, neighbours, exclude_self=True, **plan)
+    one = near.select(F.col("query_id").alias("src"), F.col("cand_id").alias("dst"), F.col("dist").alias("w"))
+    other = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    return one.unionByName(other).groupBy("src", "dst").agg(F.min("w").alias("w"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """dist(id, source, d): shortest way from every source to every point it reaches.
+
+    Only what got nearer in one round is sent along the edges in the next; it ends when nothing does. Rows are
+    points times sources and are reduced map-side to the best offer for each of them.
+    """
+    edges = materialize(edges)
+    frontier = materialize(sources.select("id", F.col("id").alias("source"), F.lit(0.0).alias("d")))
+    dist = frontier
+    while not frontier.isEmpty():
+        sent = frontier.join(edges, frontier["id"] == edges["src"])
+        offers = sent.groupBy(F.col("dst").alias("id"), "source").agg(F.min(F.col("d") + F.col("w")).alias("offer"))
+        known = offers.join(fresh(dist), ["id", "source"], "left")
+        frontier = materialize(
+            known.filter(F.col("d").isNull() | (F.col("offer") < F.col("d"))).select("id", "source", F.col("offer").alias("d"))
+        )
+        dist = materialize(dist.unionByName(frontier).groupBy("id", "source").agg(F.min("d").alias("d")))
+    return dist
+
+
+def triangulation(squared: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and offset that place a point by its squared distances to the landmarks: z = (s - offset) @ matrix.
+
+    ``squared``: between the landmarks. With every point a landmark this is classical scaling.
+    """
+    centre = np.eye(len(squared)) - 1.0 / len(squared)
+    value, axes = np.linalg.eigh(-0.5 * centre @ squared @ centre)
+    value, axes = value[::-1][:dims], axes[:, ::-1][:, :dims]
+    root = np.sqrt(np.maximum(value, 0.0))
+    used = root > 1e-9 * (root[0] if root[0] > 0 else 1.0)
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    matrix = np.where(used, -0.5 * axes / np.where(used, root, 1.0), 0.0)
+    return np.pad(matrix, ((0, 0), (0, dims - matrix.shape[1]))), squared.mean(axis=0)
+
+
+def geodesic_chart(points: DataFrame, dims: int = 2, neighbours: int = NEIGHBOURS, landmarks: int = LANDMARKS, **plan) -> DataFrame:
+    """chart(id, z1, ..., z_dims): scaling of the ways along the neighbour graph to ``landmarks`` points.
+
+    The landmarks are the points with the least hash of their id, all points where there are no more; every point is placed by its
+    ways to them. Where no way leads to a landmark, the longest way found stands for it, so parts
+    of the graph lie apart and every point has a place. The distances between landmarks are all that the driver sees.
+    """
+    ids = points.select("id").orderBy(F.xxhash64("id"), "id").limit(landmarks)
+    chosen = sorted(r["id"] for r in ids.collect())
+    names = [f"z{i + 1}" for i in range(dims)]
+    ddl = "id bigint, " + ", ".join(f"{n} double" for n in names)
+    if not chosen:
+        return points.sparkSession.createDataFrame([], ddl)
+    sources = points.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
+    found = shortest_paths(distance_graph(points, min(neighbours, max(points.count() - 1, 1)), **plan), sources)
+    longest = found.agg(F.max("d")).first()[0]
+    between = found.join(F.broadcast(sources), "id").toArrow()  # landmarks squared
+    at = {v: n for n, v in enumerate(chosen)}
+    d = np.full((len(chosen), len(chosen)), longest)
+    d[[at[v] for v in between["id"].to_pylist()], [at[v] for v in between["source"].to_pylist()]] = between["d"].to_numpy()
+    shared = points.sparkSession.sparkContext.broadcast((chosen, longest, *triangulation(d * d, dims)))
+    ways = found.groupBy("id").agg(F.collect_list("source").alias("to"), F.collect_list("d").alias("d"))  # at most one a landmark
+    rows = points.select("id").join(ways, "id", "left")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, far, matrix, offset = shared.value
+        for b in batches:
+            s = np.full((b.num_rows, len(order)), far)
+            for i, (to, way) in enumerate(zip(b["to"].to_pylist(), b["d"].to_pylist())):
+                if to:
+                    s[i, np.searchsorted(order, to)] = way
+            z = (s * s - offset) @ matrix
+            yield pa.RecordBatch.from_arrays([b["id"], *[pa.array(c) for c in z.T]], names=["id", *names])
+
+    return rows.mapInArrow(place, ddl)

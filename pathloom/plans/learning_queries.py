@@ -79,6 +79,11 @@ def laplacian_chart(spark, d):
     return publish(GR.spectral_chart(_points(spark, d))[0])
 
 
+def geodesic_chart(spark, d):
+    """Scaling of the ways along the neighbour graph."""
+    return publish(GR.geodesic_chart(_points(spark, d)))
+
+
 def laplacian_spectrum(spark, d):
     """Leading eigenvalues of the graph behind that chart, with residuals."""
     found = GR.leading_eigenvectors(GR.neighbour_graph(_points(spark, d)), 3)
@@ -177,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         explained_variance, pca_power_sums, pca_chart, pca_distances, pca_whiten, wknn_whitened, cmds_chart,
-        laplacian_chart, laplacian_spectrum,
+        laplacian_chart, laplacian_spectrum, geodesic_chart,
         feature_image, nn_regression, nn_regression_plain, nn_classification, cnn_regression, autoencoder_chart,
         chart_study, best_chart, paths_to_position, chart_from_pca,
     )

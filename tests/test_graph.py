@@ -1,4 +1,6 @@
-"""The spectral chart against a dense solve."""
+"""The spectral chart against a dense solve, the geodesic chart against plain shortest paths."""
+
+import heapq
 
 import numpy as np
 import pytest
@@ -74,3 +76,63 @@ def test_two_points_and_equal_points(spark):
     assert found.values[1] == pytest.approx(-1.0) and z[1] == pytest.approx(-z[2]) and abs(z[1]) == pytest.approx(2**-0.5)
     same, _ = G.spectral_chart(frame(spark, range(12), np.ones((12, 2))), 2, 4)
     assert same.count() == 12
+
+
+def ways(vec, ids, k):
+    """Shortest ways between all points of the symmetric neighbour graph, one source after the other."""
+    d = np.sqrt(((vec[:, None] - vec[None]) ** 2).sum(-1))
+    near = [{} for _ in vec]
+    for i in range(len(vec)):
+        other = np.array([j for j in range(len(vec)) if j != i])
+        for j in other[np.lexsort((ids[other], d[i, other]))][:k]:
+            near[i][j] = near[j][i] = d[i, j]
+    out = np.full(d.shape, np.inf)
+    for source in range(len(vec)):
+        heap = [(0.0, source)]
+        while heap:
+            way, i = heapq.heappop(heap)
+            if way < out[source, i]:
+                out[source, i] = way
+                for j, w in near[i].items():
+                    heapq.heappush(heap, (way + w, j))
+    return out
+
+
+def test_ways_are_the_shortest(spark, cloud):
+    ids, vec = cloud
+    ids, vec = ids[:80], vec[:80].copy()
+    vec[60:] += 50.0  # two parts without an edge between them
+    want = ways(vec, ids, 6)
+    sources = spark.createDataFrame([(int(i),) for i in ids[[0, 5, 70]]], "id long")
+    got = np.full((3, 80), np.inf)
+    at = {i: n for n, i in enumerate(ids.tolist())}
+    row = {int(i): n for n, i in enumerate(ids[[0, 5, 70]])}
+    for r in G.shortest_paths(G.distance_graph(frame(spark, ids, vec), 6), sources).collect():
+        got[row[r["source"]], at[r["id"]]] = r["d"]
+    assert np.array_equal(np.isinf(got), np.isinf(want[[0, 5, 70]])) and np.isinf(got).any()
+    assert np.allclose(got[np.isfinite(got)], want[[0, 5, 70]][np.isfinite(got)])
+    chart = G.geodesic_chart(frame(spark, ids, vec), 2, 6, 20).collect()
+    z = {r["id"]: (r["z1"], r["z2"]) for r in chart}
+    assert len(z) == 80 and np.isfinite(np.array(list(z.values()))).all()
+
+
+def test_geodesic_chart_with_all_points_as_landmarks(spark, cloud):
+    ids, vec = cloud
+    ids, vec = ids[:60], vec[:60]
+    d = ways(vec, ids, 8)
+    assert np.isfinite(d).all()
+    centre = np.eye(60) - 1 / 60
+    value, axes = np.linalg.eigh(-0.5 * centre @ (d * d) @ centre)
+    want = axes[:, ::-1][:, :2] * np.sqrt(value[::-1][:2])
+    z = {r["id"]: (r["z1"], r["z2"]) for r in G.geodesic_chart(frame(spark, ids, vec), 2, 8, 60).collect()}
+    got = np.array([z[i] for i in ids.tolist()])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-8)
+    some = {r["id"]: (r["z1"], r["z2"]) for r in G.geodesic_chart(frame(spark, ids, vec), 2, 8, 25).collect()}
+    part = np.array([some[i] for i in ids.tolist()])
+    assert abs(np.corrcoef(part[:, 0], want[:, 0])[0, 1]) > 0.98
+
+
+def test_geodesic_chart_of_few_points(spark):
+    assert G.geodesic_chart(frame(spark, [7], np.array([[1.0, 2.0]]))).count() == 1
+    same = G.geodesic_chart(frame(spark, range(5), np.ones((5, 2)))).collect()
+    assert {(r["z1"], r["z2"]) for r in same} == {(0.0, 0.0)}
