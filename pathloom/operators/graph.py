@@ -39,9 +39,16 @@ class Spectrum(NamedTuple):
     vectors: DataFrame
 
 
+def _near(points: DataFrame, k: int, **plan) -> DataFrame:
+    """The other nearest points of each; none in an empty table."""
+    if points.isEmpty():
+        return points.sparkSession.createDataFrame([], "query_id bigint, rank int, cand_id bigint, dist double")
+    return knn_join(points, points, k, exclude_self=True, **plan)
+
+
 def neighbour_graph(points: DataFrame, neighbours: int = NEIGHBOURS, **plan) -> DataFrame:
     """edges(src, dst, w) in both directions: 1 for mutual neighbours, 1/2 for one-sided ones, no loops."""
-    near = knn_join(points, points, neighbours - 1, exclude_self=True, **plan)
+    near = _near(points, neighbours - 1, **plan)
     one = near.select(F.col("query_id").alias("src"), F.col("cand_id").alias("dst"), F.lit(0.5).alias("w"))
     other = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     return one.unionByName(other).groupBy("src", "dst").agg(F.sum("w").alias("w"))
@@ -159,7 +166,7 @@ LANDMARKS = 64
 
 def distance_graph(points: DataFrame, neighbours: int = NEIGHBOURS, **plan) -> DataFrame:
     """edges(src, dst, w) in both directions, as long as the two points are apart; a pair that both sides name stands once."""
-    near = knn_join(points, points, neighbours, exclude_self=True, **plan)
+    near = _near(points, neighbours, **plan)
     one = near.select(F.col("query_id").alias("src"), F.col("cand_id").alias("dst"), F.col("dist").alias("w"))
     other = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     return one.unionByName(other).groupBy("src", "dst").agg(F.min("w").alias("w"))
