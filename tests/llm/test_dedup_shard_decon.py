@@ -61,24 +61,45 @@ def test_filter_leaves_unique_rows_in_place(spark):
     assert set(range(10)) <= ids and len(ids) < 300
 
 
-def fisher_yates(n, draws):
-    out = [0]
-    for i in range(1, n):
-        j = draws[i]
-        if j == i:
-            out.append(i)
-        else:
-            out.append(out[j])
-            out[j] = i
-    return out
-
-
-def test_permutation_is_fisher_yates(spark):
-    df = spark.createDataFrame([(n, b) for b, n in enumerate([1, 2, 3, 10, 300])], "n long, bucket long")
+def test_buckets_are_shuffled_evenly(spark):
+    """Each of the six orders of three rows is about as likely; every bucket keeps its rows, and a second run repeats the order."""
     F = sharding.F
-    draw = F.transform(F.sequence(F.lit(0), F.col("n").cast("int")), lambda i: F.pmod(F.xxhash64(F.lit(5), "bucket", i), (i + 1).cast("long")))
-    for r in df.select("n", sharding.permutation(F.col("n"), F.col("bucket"), 5).alias("p"), draw.alias("d")).collect():
-        assert r["p"] == fisher_yates(r["n"], r["d"]) and sorted(r["p"]) == list(range(r["n"]))
+    rows = spark.range(9000).select((F.col("id") % 3000).alias("_sh_bucket"), F.struct(F.expr("id div 3000").alias("k")).alias("_sh_item"))
+
+    def orders(df):
+        got = {}
+        for r in sharding.fisher_yates(df, 3000, 5).collect():
+            got.setdefault(r["_sh_bucket"], {})[r["_sh_at"]] = r["k"]
+        return {b: tuple(o[i] for i in range(3)) for b, o in got.items()}
+
+    got = orders(rows)
+    assert len(got) == 3000 and all(sorted(o) == [0, 1, 2] for o in got.values())
+    n = Counter(got.values())
+    assert len(n) == 6 and sum((v - 500) ** 2 / 500 for v in n.values()) < 20.5  # 0.1 % of chi-square with 5 degrees
+    assert orders(rows.repartition(3)) == got
+
+
+def test_repeated_rows_fill_all_buckets(spark):
+    """Two thirds of the rows are one row, over several tasks: numbered without gaps, in buckets of like size."""
+    F = sharding.F
+    rows = spark.range(0, 6000, 1, 7).select(
+        F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.lit(9).cast("long").alias("text_crc32")
+    )
+    rows = sharding.materialize(rows).withColumn("_sh_row", F.monotonically_increasing_id())
+    got = sharding.with_occurrence(rows)
+    assert sorted(r["_sh_nth"] for r in got.filter("doc_id = 1").collect()) == list(range(1, 4001))
+    assert {r["_sh_nth"] for r in got.filter("doc_id <> 1").collect()} == {1}
+    placed = sharding.placed(rows.withColumn("size", F.lit(8).cast("long")), 4, bucket_bytes=4800)
+    sizes = [r["count"] for r in placed.groupBy("_sh_bucket").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 720 and sum(sizes) == 6000
+    assert placed.select("shard", "slot").distinct().count() == 6000
+
+
+def test_one_very_long_text_among_small_ones(spark):
+    rows = [(k, "x" * (3_000_000 if k == 7 else k)) for k in range(50)]
+    got = sharding.shard_plan(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((s, i) for s, n in enumerate((13, 12, 13, 12)) for i in range(n))
+    assert max(r["size"] for r in got) == 3_000_008
 
 
 def test_shards_are_even_gapless_and_repeatable(spark):
