@@ -66,7 +66,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source owns a document; its repositories are one for each language."""
+    """The tables name neither owner nor repository: the source stands for the owner, its documents of one language for a repository."""
     return secret_scan.scan(documents(spark, sf_dir), F.col("source"), F.col("lang"))
 
 
@@ -191,20 +191,21 @@ ORACLES: dict[str, str] = {
         found AS (
             SELECT * FROM ({_spans_sql(0, ASSIGN, 1)}) WHERE length(v) >= 8
             UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]{12,}", 0)} UNION ALL {_spans_sql(2, "[0-9a-f]{32,}", 0)}),
-        owners AS (SELECT v, count(DISTINCT owner) AS n FROM found GROUP BY v),
+        owners AS (SELECT v, count(DISTINCT owner) AS n, count(DISTINCT (owner, repository)) AS r FROM found GROUP BY v),
         spans AS (
-            SELECT row, kind, s, e FROM found
+            SELECT row, kind, s, e, NULL AS n, NULL AS r FROM found
             UNION ALL
-            SELECT DISTINCT row, 3, e - length(v), e FROM found JOIN owners USING (v)
-            WHERE n = 1 AND len(list_distinct(string_split(v, ''))) >= 6
+            SELECT DISTINCT row, 3, e - length(v), e, n, r FROM found JOIN owners USING (v)
+            WHERE n = 1 AND r < 4 AND len(list_distinct(string_split(v, ''))) >= 6
             UNION ALL
-            SELECT DISTINCT row, 4, e - length(v), e FROM found JOIN owners USING (v) WHERE n > 1),
+            SELECT DISTINCT row, 4, e - length(v), e, n, r FROM found JOIN owners USING (v) WHERE n > 1 OR r >= 4),
         named AS (
             SELECT *, ['assign', 'access', 'hex', 'live', 'copied'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS x FROM spans)
         SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
                count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live, count(*) FILTER (kind = 4) AS n_copied,
                sha256(coalesce(string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
-               coalesce(string_agg(x, ',' ORDER BY s, kind), '') AS spans
+               coalesce(string_agg(x, ',' ORDER BY s, kind, e), '') AS spans,
+               coalesce(string_agg(x || ':' || n || ':' || r, ',' ORDER BY s, kind, e) FILTER (kind > 2), '') AS ownership
         FROM d LEFT JOIN named USING (row) GROUP BY row, doc_id
     """,
     "op5_exact_dedup": f"""
