@@ -95,6 +95,12 @@ def candidates(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(k, *rest) for k, (_, *rest) in enumerate(KINDS)]))
 
 
+def once(ordered: Column) -> Column:
+    """An ordered array without repeats; ``array_distinct`` compares all pairs of structs."""
+    held = F.array(F.struct(ordered.alias("a")))
+    return F.transform(held, lambda x: F.filter(x["a"], lambda s, i: (i == 0) | ~s.eqNullSafe(F.get(x["a"], i - 1))))[0]
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """hash, owners, repositories and number of every candidate value; ``found`` has hash, owner, repository."""
     each = found.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
@@ -146,8 +152,8 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
 
     base = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     # two kinds of candidates can have one value
-    more = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda s: widely(s) | s["random"]), added)))
-    every = every.select("doc_id", "found", base.alias("base"), more.alias("more"))
+    more = F.sort_array(F.transform(F.filter("found", lambda s: widely(s) | s["random"]), added))
+    every = every.select("doc_id", "found", base.alias("base"), once(more).alias("more"))
     slim = F.transform("more", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     owned_by = F.transform("more", lambda s: F.concat_ws(":", F.element_at(_names(), s["kind"] + 1), s["start"], s["end"], s["owners"], s["repositories"]))
 
