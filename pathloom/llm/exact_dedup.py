@@ -7,7 +7,7 @@ false alarm costs a shuffled row and never a wrong answer.
 
 The filter has SLOTS_PER_ROW slots for each row, one bit each when broadcast, up to ``FILTER_BYTES``, which bounds what is
 broadcast. Beyond that bound it fills up: more unique rows join the exact step (rows of a hash and an id, never
-texts), and the answer stays the same.
+texts), and the answer stays the same. Rows of a hash that more than SPLIT_ROWS rows have meet their group in several tasks.
 
 Defined cases: a null text counts as empty; all empty texts are one group. Only A-Z are lower-cased.
 Of equal texts the row with the largest doc_id stays; a null doc_id counts as smaller than any. Rows repeated with the
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from pathloom.llm.common import lower_ascii, text_or_empty
+from pathloom.operators.skew import MAX_SENT_KEYS, salted_lookup
 from pathloom.session import materialize
 
 FILTER_BYTES = 64 << 20  # most the filter may take, and so the most that is broadcast
 SEGMENT = 64 << 10  # slots of a part of the filter; a row's probes lie in one part
 PROBES = 4
 SLOTS_PER_ROW = 8
+SPLIT_ROWS = 1000  # rows of one hash that may share a task; more where that would make too long a list of hashes
 FLUSH_SLOTS = 2_000_000  # slots that a task gathers before it hands them on
 
 
@@ -139,14 +141,16 @@ def _repeats(tested: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     hashes = materialize(docs.select("doc_id", F.unhex(text_sha()).alias("_xd_sha")))
-    tested = possibly_repeated(hashes, hashes.count(), filter_bytes)(hashes)
+    hashes = hashes.withColumn("_xd_row", F.monotonically_increasing_id())
+    rows = hashes.count()
+    tested = possibly_repeated(hashes, rows, filter_bytes)(hashes)
+    groups = materialize(_repeats(tested).withColumn("n", F.col("group_size")))
+    per_task = max(SPLIT_ROWS, -(-rows // MAX_SENT_KEYS))
     alone = tested.filter(~F.col("_xd_maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "_xd_sha"
     )
-    repeated = (
-        tested.filter("_xd_maybe")
-        .join(_repeats(tested), "_xd_sha")
-        .select("doc_id", "keep_id", "group_size", "_xd_sha")
+    repeated = salted_lookup(tested.filter("_xd_maybe"), groups, ["_xd_sha"], "_xd_row", per_task).select(
+        "doc_id", "keep_id", "group_size", "_xd_sha"
     )
     return alone.unionByName(repeated).select(
         "doc_id",

@@ -45,6 +45,16 @@ def test_exact_groups_against_python(spark, filter_bytes):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(max(g) for g in groups.values())
 
 
+def test_exact_groups_of_a_hot_text_without_ids_and_a_very_long_one(spark, monkeypatch):
+    """A text in far more rows than may share a task, most of them without id; very long texts that differ in case alone."""
+    monkeypatch.setattr(xd, "SPLIT_ROWS", 20)
+    rows = [(None, "hot")] * 300 + [(k, "HOT") for k in range(50)] + [(90, "x" * 2_000_000), (91, "X" * 2_000_000), (92, "x" * 1_999_999)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in xd.exact_groups(df).collect())
+    want = Counter({(None, 49, 350, False): 300, (90, 91, 2, False): 1, (91, 91, 2, True): 1, (92, 92, 1, True): 1})
+    assert got == want + Counter((k, 49, 350, k == 49) for k in range(50))
+
+
 def test_exact_groups_of_repeats_nulls_and_nothing(spark):
     df = spark.createDataFrame([(1, "a"), (1, "A"), (None, "a"), (None, "b")], "doc_id long, text string")
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in xd.exact_groups(df).collect())
