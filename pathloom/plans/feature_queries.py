@@ -10,9 +10,10 @@ from pathloom.operators import features as FT
 from pathloom.operators import links as L
 from pathloom.operators import ofdm as O
 from pathloom.plans.common import publish, q, qs
-from pathloom.plans.path_queries import _GRID, _LINKS, P, ROTATION, RX
+from pathloom.plans.path_queries import _GRID, _LINKS, P, ROTATION, RX, wide_positions
 from pathloom.schema import GROUP_COLUMNS, group_widths
 from pathloom.sources import carriers as C
+from pathloom.sources import sinks as SK
 
 FFT, STEP = 3168, 16  # 198 kept subcarriers over 95 MHz
 AXIS = dict(fft_size=FFT, spacing_hz=30e3, fc=3.6e9, step=STEP)
@@ -26,6 +27,12 @@ def ofdm_response(spark, d):
     return publish(O.frequency_table(O.long_form(_band(spark, d), STEP, "h_re", "h_im")).select("rx_id", "tx_id", "k", "h_re", "h_im", "magnitude", "phase_deg", "gain_db"))
 
 
+def wide_frequencies(spark, d):
+    """The frequency export rows: both positions and the response of every link and kept subcarrier."""
+    tx, rx = wide_positions(spark, d)
+    return publish(SK.wide_frequencies(_band(spark, d), tx, rx, "events", **AXIS))
+
+
 def ofdm_mag_db(spark, d):
     return publish(O.long_form(O.band_features(_band(spark, d)), STEP, "mag_db"))
 
@@ -166,13 +173,17 @@ QUERIES = {
     for f in (
         ofdm_response, ofdm_mag_db, group_delay, unwrapped_phase, band_power, cov_trace_norm, cov_eig,
         cov_eig_power_sums, array_response, capon_doa, fingerprint_scalars, fingerprints, feature_layout,
-        best_path_database, cosine_gram, strongest_gain,
+        best_path_database, cosine_gram, strongest_gain, wide_frequencies,
     )
 }
 
 ORACLES = {
     "ofdm_response": f"""WITH {P}, {_H} SELECT rx_id, tx_id, k, {qs('h_re', 'h_im')}, {q('sqrt(h_re*h_re+h_im*h_im)', 'magnitude')},
         {q('degrees(atan2(h_im, h_re))', 'phase_deg')}, {q('20.0::DOUBLE*log10(sqrt(h_re*h_re+h_im*h_im)+1e-30)', 'gain_db')} FROM h""",
+    "wide_frequencies": f"""WITH {P}, {_H} SELECT 'events' AS source, tx_id*20.0::DOUBLE - 40 AS bs_x, tx_id * -15.0::DOUBLE + 30 AS bs_y, 19.0::DOUBLE AS bs_z,
+        (rx_id % 25)*2.5::DOUBLE - 47.5 AS ue_x, (rx_id // 25)*2.5::DOUBLE - 60.0 AS ue_y, 1.25::DOUBLE AS ue_z, 3.6e9::DOUBLE AS "carrier_freq_Hz",
+        k AS subcarrier_index, f AS "subcarrier_freq_Hz", {q('h_re', '"H_real"')}, {q('h_im', '"H_imag"')}, {q('sqrt(h_re*h_re+h_im*h_im)', '"H_magnitude"')},
+        {q('degrees(atan2(h_im, h_re))', '"H_phase_deg"')}, {q('20.0::DOUBLE*log10(sqrt(h_re*h_re+h_im*h_im)+1e-30)', '"H_gain_dB"')} FROM h JOIN sc USING (k)""",
     "ofdm_mag_db": f"WITH {P}, {_H} SELECT rx_id, tx_id, k, {q(_MAG, 'mag_db')} FROM h",
     "group_delay": f"""WITH {P}, {_H}, {_SLOPE} SELECT rx_id, tx_id, k, {q('CASE WHEN mag > 1e-5 AND pm > 1e-5 THEN greatest(-500, least(500, s)) ELSE 0 END', 'slope')}
         FROM st WHERE d IS NOT NULL""",

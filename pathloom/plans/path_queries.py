@@ -182,15 +182,20 @@ def departure_angles(spark, d):
     return out.withColumn("az_aod", one)
 
 
-def wide_paths(spark, d):
-    """The wide export rows: positions, levels and angles of every path."""
+def wide_positions(spark, d):
+    """Transmitters and receivers with their places in space."""
     tx = spark.range(C.N_TX).select(
         F.col("id").cast("int").alias("tx_id"),
         (F.col("id") * 20.0 - 40.0).alias("x"),
         (F.col("id") * -15.0 + 30.0).alias("y"),
         F.lit(19.0).alias("z"),
     )
-    rx = C.event_rx(spark, d).withColumn("z", F.lit(1.25))
+    return tx, C.event_rx(spark, d).withColumn("z", F.lit(1.25))
+
+
+def wide_paths(spark, d):
+    """The wide export rows: positions, levels and angles of every path."""
+    tx, rx = wide_positions(spark, d)
     paths = C.event_paths(spark, d).withColumn("el_deg", F.col("el_deg") - 90.0)
     out = publish(SK.wide_paths(paths, tx, rx, "events", 3.5e9))
     az = F.when(F.abs("el_aod_deg") >= 90, 0.0).when(F.col("az_aod_deg") <= -180, 180.0).otherwise(F.col("az_aod_deg"))

@@ -87,6 +87,26 @@ def wide_paths(paths: DataFrame, tx: DataFrame, rx: DataFrame, source: str, fc:
     )
 
 
+def wide_frequencies(band: DataFrame, tx: DataFrame, rx: DataFrame, source: str, fft_size: int, spacing_hz: float, fc: float, step: int = 1) -> DataFrame:
+    """Frequency export: source, both positions, carrier, subcarrier and the response there, one row a link and kept subcarrier.
+
+    ``band`` has one row of arrays a link; positions are joined before it is unfolded. A link without a position stays, with nulls.
+    """
+    # the transmitter list is a layout table: as many rows as the array has transmitters
+    t = F.broadcast(tx.select("tx_id", F.col("x").alias("bs_x"), F.col("y").alias("bs_y"), F.col("z").alias("bs_z")))
+    r = rx.select("rx_id", F.col("x").alias("ue_x"), F.col("y").alias("ue_y"), F.col("z").alias("ue_z"))
+    places = ("bs_x", "bs_y", "bs_z", "ue_x", "ue_y", "ue_z")
+    one = F.posexplode(F.arrays_zip("h_re", "h_im")).alias("_p", "_e")
+    j = band.join(t, "tx_id", "left").join(r, "rx_id", "left").select(*places, one)
+    k, re, im = F.col("_p") * step, F.col("_e.h_re"), F.col("_e.h_im")
+    mag = X.c_abs(re, im)
+    return j.select(
+        F.lit(source).alias("source"), *places, F.lit(float(fc)).alias("carrier_freq_Hz"), k.cast("int").alias("subcarrier_index"),
+        ((k - fft_size / 2.0) * spacing_hz + fc).alias("subcarrier_freq_Hz"), re.alias("H_real"), im.alias("H_imag"),
+        mag.alias("H_magnitude"), F.degrees(X.c_angle(re, im)).alias("H_phase_deg"), X.amp_to_db(mag, X.POWER_EPS).alias("H_gain_dB"),
+    )
+
+
 def schema_table(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
     """(table/column, kind, type) of a set of tables, sorted by name."""
     return sorted((f"{t}/{f.name}", "column", f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields)

@@ -131,3 +131,16 @@ def test_published_table(spark):
     for r in t.collect():
         assert got[r["combo"]]["best_mae"] == pytest.approx(r["best_mae"]) and got[r["combo"]]["best_method"] == r["best_method"]
     assert EV.sort_table(EV.comparison_table(s), "best_mae").first()["combo"] == "Light"
+
+
+def test_frequency_rows_keep_links_without_position(spark):
+    band = spark.createDataFrame([(1, 0, [3.0, 0.0], [4.0, 0.0]), (2, 0, [1.0, 0.0], [0.0, -1.0])], "rx_id long, tx_id int, h_re array<double>, h_im array<double>")
+    at = "x double, y double, z double"
+    tx = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], f"tx_id int, {at}")
+    rx = spark.createDataFrame([(1, 7.0, 8.0, 9.0)], f"rx_id long, {at}")
+    out = K.wide_frequencies(band, tx, rx, "s", fft_size=4, spacing_hz=10.0, fc=100.0, step=2)
+    assert len(out.columns) == 15
+    rows = sorted(out.collect(), key=lambda r: (r["ue_x"] is None, r["subcarrier_index"]))
+    assert [(r["ue_x"], r["bs_z"], r["subcarrier_index"], r["subcarrier_freq_Hz"]) for r in rows] == [(7, 3, 0, 80), (7, 3, 2, 100), (None, 3, 0, 80), (None, 3, 2, 100)]
+    assert [r["H_magnitude"] for r in rows] == [5, 0, 1, 1] and rows[3]["H_phase_deg"] == -90
+    assert K.wide_frequencies(band.limit(0), tx, rx, "s", 4, 10.0, 100.0, 2).count() == 0
