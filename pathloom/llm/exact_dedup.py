@@ -164,7 +164,7 @@ def exact_groups(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame
 def deduplicate(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. Texts shuffle only where a hash may be repeated.
 
-    The verdict is worked out on hashes and ids; the texts of rows that lose never move.
+    The verdict is worked out on hashes and ids; rows whose hash may be repeated then meet it by hash, all rows of one text in one task.
     """
     rows = docs.withColumn("_xd_sha", F.unhex(text_sha()))
     hashes = materialize(rows.select("doc_id", "_xd_sha"))
