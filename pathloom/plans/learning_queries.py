@@ -8,6 +8,7 @@ from pathloom.operators import charts as CH
 from pathloom.operators import evaluate as EV
 from pathloom.operators import features as FT
 from pathloom.operators import graph as GR
+from pathloom.operators import layouts as LY
 from pathloom.operators import localize as LZ
 from pathloom.operators import manifold as MF
 from pathloom.operators import nets as NN
@@ -84,6 +85,11 @@ def geodesic_chart(spark, d):
     return publish(GR.geodesic_chart(_points(spark, d)))
 
 
+def tsne_chart(spark, d):
+    """The t-SNE chart of all points."""
+    return publish(LY.tsne_chart(_points(spark, d)))
+
+
 def laplacian_spectrum(spark, d):
     """Leading eigenvalues of the graph behind that chart, with residuals."""
     found = GR.leading_eigenvectors(GR.neighbour_graph(_points(spark, d)), 3)
@@ -182,7 +188,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         explained_variance, pca_power_sums, pca_chart, pca_distances, pca_whiten, wknn_whitened, cmds_chart,
-        laplacian_chart, laplacian_spectrum, geodesic_chart,
+        laplacian_chart, laplacian_spectrum, geodesic_chart, tsne_chart,
         feature_image, nn_regression, nn_regression_plain, nn_classification, cnn_regression, autoencoder_chart,
         chart_study, best_chart, paths_to_position, chart_from_pca,
     )
