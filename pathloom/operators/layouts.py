@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pathloom.operators.charts import trustworthiness_continuity
 from pathloom.operators.knn import knn_join
 from pathloom.operators.manifold import pca_chart, preprocess
-from pathloom.session import materialize
+from pathloom.session import ensure_checkpoint_dir, materialize
 
 PERPLEXITY = 30
 ROUNDS = 100  # of which the first EXAGGERATED draw neighbours together
@@ -252,12 +253,16 @@ def tsne_chart(points: DataFrame, perplexity: float = PERPLEXITY, rounds: int =
     box = state.agg(F.max("z1") - F.min("z1"), F.max("z2") - F.min("z2")).first()
     extent, rate = max(box), max(n / EXAGGERATION / 4, 50.0)
     early = min(EXAGGERATED, rounds // 3)
+    folder = f"{ensure_checkpoint_dir(points.sparkSession)}/tsne-{uuid4().hex}"
     for t in range(rounds):
         cells, width, extent = _boxed(state, _cell_width(extent))
         if t > early and max(cells["move"].to_pylist()) < STILL * extent:
             break
         step = (EXAGGERATION, 0.5) if t < early else (1.0, 0.8)
-        state = materialize(tsne_step(edges, state, _repulsion(cells, width, n), n, *step, rate).drop("d1", "d2"))
+        moved = tsne_step(edges, state, _repulsion(cells, width, n), n, *step, rate).drop("d1", "d2")
+        # a table and no checkpoint: that keeps the size estimated for its joins, whose digits double every round
+        moved.write.parquet(f"{folder}/{t}")
+        state = points.sparkSession.read.schema(_STATE).parquet(f"{folder}/{t}")
     return state.select("id", "z1", "z2")
 
 
