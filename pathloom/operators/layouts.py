@@ -245,12 +245,14 @@ def tsne_chart(points: DataFrame, perplexity: float = PERPLEXITY, rounds: int =
     n = points.count()
     if n == 0:
         return points.sparkSession.createDataFrame([], "id bigint, z1 double, z2 double")
+    if n == 1:
+        return points.selectExpr("id", "0D AS z1", "0D AS z2")
     points = materialize(preprocess(points))
     state = materialize(_start(points, 1e-4).selectExpr("id", "z1", "z2", "0D AS v1", "0D AS v2", "1D AS g1", "1D AS g2"))
-    if n == 1:
+    box = state.agg(F.max("z1") - F.min("z1"), F.max("z2") - F.min("z2")).first()
+    if not max(box):  # nothing that could part them
         return state.select("id", "z1", "z2")
     edges = materialize(affinities(points, perplexity, **plan))
-    box = state.agg(F.max("z1") - F.min("z1"), F.max("z2") - F.min("z2")).first()
     extent, rate = max(box), max(n / EXAGGERATION / 4, 50.0)
     early = min(EXAGGERATED, rounds // 3)
     folder = f"{ensure_checkpoint_dir(points.sparkSession)}/tsne-{uuid4().hex}"
