@@ -110,7 +110,9 @@ def aod_deg(is_los: Column, dx: Column, dy: Column, dz: Column, az_aoa: Column,
 
 
 def yaw_toward(cx: Column, cy: Column, x: Column, y: Column) -> Column:
-    return F.atan2(cy - y, cx - x)
+    """Heading from (x, y) to the centre; level with it and not to its left, the negated offset is -0.0 and the heading
+    -pi, as in SQL (atan2 here drops the sign of a zero)."""
+    return F.when((y == cy) & (x >= cx), F.lit(-math.pi)).otherwise(F.atan2(cy - y, cx - x))
 
 
 def heading_offset(az_deg: Column, rotation_deg: Column) -> Column:

@@ -201,3 +201,13 @@ def test_fingerprint_layout(spark, sf):
         FT.build_fingerprints(C.event_paths(spark, sf), C.event_rx(spark, sf), C.N_TX, [])
     img = FT.to_image(FT.to_vector(only, ["rss", "delay"]), 3).first()["image"]
     assert len(img) == 3 and all(len(v) == 3 for v in img)
+
+
+def test_yaw_level_with_the_centre(spark):
+    """Receivers 619 to 624 lie level with the centre and not to its left: the SQL negates a zero there."""
+    from pathloom.functions import expr as X
+
+    p = spark.createDataFrame([(0.0, 0.0), (2.5, 0.0), (-2.5, 0.0), (2.5, 1.0), (2.5, -1.0)], "x double, y double")
+    yaw = X.yaw_toward(F.lit(0.0), F.lit(0.0), F.col("x"), F.col("y"))
+    got = [r[0] for r in p.select(yaw).collect()]
+    assert got == pytest.approx([math.atan2(-y, -x) for x, y in ((0.0, 0.0), (2.5, 0.0), (-2.5, 0.0), (2.5, 1.0), (2.5, -1.0))])
