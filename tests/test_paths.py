@@ -211,3 +211,24 @@ def test_yaw_level_with_the_centre(spark):
     yaw = X.yaw_toward(F.lit(0.0), F.lit(0.0), F.col("x"), F.col("y"))
     got = [r[0] for r in p.select(yaw).collect()]
     assert got == pytest.approx([math.atan2(-y, -x) for x, y in ((0.0, 0.0), (2.5, 0.0), (-2.5, 0.0), (2.5, 1.0), (2.5, -1.0))])
+
+
+def test_band_moves_paths_not_responses(spark):
+    """The rows as wide as the band are not shuffled, and links cut into parts have the same response."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rx), int(tx), i, float(t), float(a)) for i, (rx, tx, t, a) in enumerate(zip(
+        np.append(rng.integers(0, 40, 900), np.full(3000, 7)), np.append(rng.integers(0, 3, 900), np.full(3000, 1)),
+        rng.uniform(1, 400, 3900), rng.uniform(1e-3, 1, 3900)))]
+    p = paths(spark, rows).repartition(5, "path_id")
+    whole = O.band_response(p, 64, 30e3, 3.6e9, 4)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+    f = O.subcarriers(64, 30e3, 3.6e9, 4)
+    want = {}
+    for rx, tx, _, t, a in rows:
+        want[rx, tx] = want.get((rx, tx), 0) + a * np.exp(-2j * np.pi * f * t * 1e-9)
+    for hot in (200_000, 100):
+        got = {(r["rx_id"], r["tx_id"]): np.array(r["h_re"]) + 1j * np.array(r["h_im"]) for r in O.band_response(p, 64, 30e3, 3.6e9, 4, hot_paths=hot).collect()}
+        assert set(got) == set(want)
+        for link, h in want.items():
+            np.testing.assert_allclose(got[link], h, atol=1e-9)
