@@ -254,3 +254,24 @@ def test_chart_identities(spark):
     assert (r["tw"], r["ct"]) == (1.0, 1.0) and CH.kruskal_stress(same).first()["stress"] == pytest.approx(0.0)
     double = same.withColumn("lo", F.transform("hi", lambda v: v * 2))
     assert CH.kruskal_stress(double).first()["stress"] == pytest.approx(1.0)
+
+
+def test_views_move_the_blocks_once(spark, monkeypatch):
+    """Several blocks of candidates: equal to brute force, by one join for all views."""
+    from pathloom.operators import knn as K
+
+    monkeypatch.setattr(K, "LOCAL_BYTES", 16 * 6 * 40)  # blocks of 40 rows
+    p, v, _ = points(spark, n=150)
+    views = {"a": [0, 1], "b": [2, 3, 4, 5]}
+    nb = knn_join_views(p, p, 3, views, local_rows=1)
+    assert nb._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    for name, at in views.items():
+        assert as_lists(nb.filter(nb["view"] == name)) == brute(v[:, at], v[:, at], range(150), range(150), 3)
+
+
+def test_blocks_of_wide_rows_are_larger():
+    from pathloom.operators.knn import LOCAL_BYTES, rows_of_block
+
+    assert rows_of_block(1_000_000, 64, 12) == LOCAL_BYTES // (16 * 64)
+    assert rows_of_block(1_000_000, 2, 12) == rows_of_block(10_000, 64, 12) == 4096
+    assert rows_of_block(1_000_000, 64, 12, block_rows=40) == 40
