@@ -60,12 +60,12 @@ def rows_of_block(n: int, width: int, cores: int, block_rows: int = BLOCK_ROWS)
     """Rows of one side in one block, for ``n`` rows of ``width`` columns.
 
     A row is sent to every block it is compared with. Of wide rows that is nearly every one, so their blocks are as
-    large as leaves some four pairs of blocks for each core, up to half the byte budget.
+    large as leaves some 32 pairs of blocks for each core, up to half the byte budget.
     """
     rows = min(block_rows, max(LOCAL_BYTES // (8 * width), 1))
     if width <= WIDE or block_rows != BLOCK_ROWS:
         return rows
-    return max(rows, min(LOCAL_BYTES // (16 * width), int(-(-n // (4 * cores) ** 0.5))))
+    return max(rows, min(LOCAL_BYTES // (16 * width), int(-(-n // (32 * cores) ** 0.5))))
 
 
 def knn_join(

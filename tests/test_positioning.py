@@ -272,6 +272,6 @@ def test_views_move_the_blocks_once(spark, monkeypatch):
 def test_blocks_of_wide_rows_are_larger():
     from pathloom.operators.knn import LOCAL_BYTES, rows_of_block
 
-    assert rows_of_block(1_000_000, 64, 12) == LOCAL_BYTES // (16 * 64)
-    assert rows_of_block(1_000_000, 2, 12) == rows_of_block(10_000, 64, 12) == 4096
+    assert rows_of_block(10_000_000, 64, 12) == LOCAL_BYTES // (16 * 64)
+    assert rows_of_block(1_000_000, 2, 12) == rows_of_block(50_000, 64, 12) == 4096
     assert rows_of_block(1_000_000, 64, 12, block_rows=40) == 40
