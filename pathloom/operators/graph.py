@@ -1,8 +1,9 @@
 """Charts from the neighbour graph, as edge tables: nothing but small Gram matrices reaches the driver.
 
 The spectral chart needs the leading eigenvectors of N = D^-1/2 A D^-1/2, with A the symmetrised neighbour graph and D its degrees.
-A block of vectors is kept as one array a row. One product with N is a join with the edges and a sum by the other end. A cycle makes
-the blocks T_0(N)X ... T_m(N)X of the Chebyshev recurrence, which stay well conditioned, takes all their inner products in one pass, and
+Nodes are dealt into blocks; N is kept as its parts between two blocks, a block of vectors as one row of bytes for each block of nodes.
+A product with N reads both from where they were written: each task has the parts of some blocks of nodes and the vectors pass by, so
+edges and messages are not shuffled. A cycle makes the blocks T_0(N)X ... T_m(N)X of the Chebyshev recurrence, which stay well conditioned, takes all their inner products in one pass, and
 solves the small eigenvalue problem of the space they span; N times a block is half the sum of its neighbours in the
 recurrence, so that pass gives the projected operator and the residuals too. The best vectors start the next cycle.
 """
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.operators import blocks as B
-from pathloom.operators.knn import knn_join
+from pathloom.operators.knn import block_number, knn_join
 from pathloom.session import fresh, materialize
 
 NEIGHBOURS = 15  # a point itself counts as its first one
@@ -29,6 +31,7 @@ DEGREE = 12  # products with N in a cycle
 CYCLES = 12
 TOLERANCE = 1e-7
 PIECE_ROWS = 4096
+NODES_PER_BLOCK = 32768
 
 
 class Spectrum(NamedTuple):
@@ -54,46 +57,143 @@ def neighbour_graph(points: DataFrame, neighbours: int = NEIGHBOURS, **plan) ->
     return one.unionByName(other).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def _product(edges: DataFrame, table: DataFrame, column: str, width: int) -> DataFrame:
-    """``table`` with ``_y``: the product of the edge weights with one block of vectors."""
-    sent = table.select(F.col("id").alias("src"), *[F.col(column)[i].alias(f"_{i}") for i in range(width)])
-    got = edges.join(sent, "src").groupBy("dst").agg(*[F.sum(F.col("w") * F.col(f"_{i}")).alias(f"_{i}") for i in range(width)])
-    got = got.select(F.col("dst").alias("id"), F.array(*[f"_{i}" for i in range(width)]).alias("_y"))
-    return table.join(fresh(got), "id")
+class Matrix(NamedTuple):
+    """N as parts(block, src, at, frm, w), the entries between two blocks of nodes, and nodes(block, id, d, x) with the first vectors."""
 
+    blocks: int
+    parts: DataFrame
+    nodes: DataFrame
 
-def _gram(table: DataFrame, columns: list[str]) -> np.ndarray:
-    """Inner products of all columns of all blocks, summed over the rows; as large as the square of their number."""
-    names = [f"b{i}" for i in range(len(columns))]
+
+def _bytes(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays]
+
+
+def _matrix(edges: DataFrame, degrees: DataFrame, start, n: int) -> Matrix:
+    """Places the nodes, ordered by id in their block, and groups the entries by blocks."""
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // NODES_PER_BLOCK), min(-(-n // 2048), cores))
+    dealt = lambda d: d.repartition(blocks, "block")
+    numbered = degrees.withColumn("block", block_number("id", blocks))
+    w = W.partitionBy("block").orderBy("id")
+    placed = materialize(dealt(numbered).withColumn("at", F.row_number().over(w) - 1))
+
+    def nodes(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        columns = _bytes(B.vector(t["id"], np.int64), B.vector(t["d"], np.float64), B.matrix(t["x"]))
+        return pa.Table.from_arrays([pa.array([t["block"][0].as_py()], pa.int32()), *columns], names=["block", "id", "d", "x"])
+
+    packed = dealt(placed.select("block", "at", "id", "d", start.alias("x"))).groupBy("block")
+    packed = materialize(packed.applyInArrow(nodes, "block int, id binary, d binary, x binary"))
+
+    def parts(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("other", "ascending"), ("at", "ascending"), ("frm", "ascending")])
+        block, other = t["block"][0].as_py(), B.vector(t["other"])
+        rows = []
+        # the part of a block with itself always stands, as it brings the vectors of the block
+        for o in sorted({block, *np.unique(other).tolist()}):
+            low, high = np.searchsorted(other, [o, o + 1])
+            p = t.slice(low, high - low)
+            rows.append((block, o, *(B.vector(p[c], k).tobytes() for c, k in (("at", np.int32), ("frm", np.int32), ("w", np.float64)))))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "src", "at", "frm", "w"])
+
+    to = placed.select(F.col("id").alias("dst"), "block", "at")
+    frm = placed.select(F.col("id").alias("src"), F.col("block").alias("other"), F.col("at").alias("frm"))
+    found = edges.join(fresh(to), "dst").join(fresh(frm), "src").select("block", "at", "other", "frm", "w")
+    found = dealt(found).groupBy("block").applyInArrow(parts, "block int, src int, at binary, frm binary, w binary")
+    return Matrix(blocks, materialize(found), packed)
+
+
+def _recurrence(matrix: Matrix, state: DataFrame, width: int, first: bool) -> DataFrame:
+    """state(block, x, before) of the next step: N x in the first one, then 2 N x - before."""
+    own = F.col("src") == F.col("block")
+    sent = state.select(F.col("block").alias("_from"), "x", "before").coalesce(1).hint("shuffle_replicate_nl")
+    met = matrix.parts.join(sent, F.col("src") == F.col("_from"))
+    met = met.select("block", "src", "at", "frm", "w", "x", F.when(own, F.col("before")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, PIECE_ROWS):
-                b = whole.slice(at, PIECE_ROWS)
-                m = np.concatenate([B.matrix(b[c]) for c in names], axis=1)
-                total = m.T @ m + (0 if total is None else total)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["g"])
-
-    parts = table.select(*[F.col(c).alias(n) for c, n in zip(columns, names)]).mapInArrow(run, "g array<double>")
+        total, kept = {}, {}
+        for b in batches:
+            for i in range(b.num_rows):
+                block = b["block"][i].as_py()
+                x = B.unpack(b["x"][i]).reshape(-1, width)
+                at, frm = B.unpack(b["at"][i], np.int32), B.unpack(b["frm"][i], np.int32)
+                if block == b["src"][i].as_py():
+                    kept[block] = (x.copy(), None if first else B.unpack(b["before"][i]).reshape(-1, width).copy())
+                if len(at):
+                    starts = np.flatnonzero(np.diff(at, prepend=-1))
+                    sums = np.add.reduceat(B.unpack(b["w"][i])[:, None] * x[frm], starts, axis=0)
+                    total.setdefault(block, []).append((at[starts], sums))
+        for block, (x, before) in kept.items():
+            y = np.zeros(x.shape)
+            for at, sums in total.get(block, []):
+                y[at] += sums
+            y = y if first else 2.0 * y - before
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *_bytes(y, x)], names=["block", "x", "before"])
+
+    return materialize(met.mapInArrow(run, "block int, x binary, before binary"))
+
+
+def _stacked(matrix: Matrix, steps: list[DataFrame], width: int) -> DataFrame:
+    """(block, m): the vectors of all steps beside each other, as one matrix a block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("step")
+        m = np.concatenate([np.frombuffer(v.as_buffer()).reshape(-1, width) for v in t["x"]], axis=1)
+        return pa.Table.from_arrays([pa.array([t["block"][0].as_py()], pa.int32()), *_bytes(m)], names=["block", "m"])
+
+    rows = None
+    for j, s in enumerate(steps):
+        one = s.select("block", F.lit(j).alias("step"), "x")
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.repartition(matrix.blocks, "block").groupBy("block")
+    return materialize(rows.applyInArrow(run, "block int, m binary"))
+
+
+def _gram(stacked: DataFrame, columns: int) -> np.ndarray:
+    """Inner products of all columns, summed over the rows; as large as the square of their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v in b["m"]:
+                m, total = B.unpack(v).reshape(-1, columns), 0.0
+                for at in range(0, len(m), PIECE_ROWS):
+                    piece = m[at : at + PIECE_ROWS]
+                    total = piece.T @ piece + total
+                yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["g"])
+
+    parts = stacked.select("m").mapInArrow(run, "g array<double>")
     g = np.array(parts.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).first()["g"])
-    return g.reshape(int(round(len(g) ** 0.5)), -1)
+    return g.reshape(columns, columns)
+
+
+def _combined(stacked: DataFrame, weights: np.ndarray, columns: int) -> DataFrame:
+    """(block, x, before): the first of all columns times a small matrix."""
+    shared = stacked.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, v in zip(b["block"], b["m"]):
+                x = B.unpack(v).reshape(-1, columns)[:, : len(shared.value)] @ shared.value
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), *_bytes(x, x[:0])], names=["block", "x", "before"])
+
+    return materialize(stacked.mapInArrow(run, "block int, x binary, before binary"))
 
 
-def _combined(table: DataFrame, columns: list[str], weights: np.ndarray) -> DataFrame:
-    """(id, d, x): the blocks of each row times a small matrix."""
-    shared = table.sparkSession.sparkContext.broadcast(weights)
-    names = [f"b{i}" for i in range(len(columns))]
+def _rows(matrix: Matrix, state: DataFrame, width: int, wanted: int) -> DataFrame:
+    """(id, d, v): the vectors of a state by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x = np.concatenate([B.matrix(b[c]) for c in names], axis=1) @ shared.value
-                yield pa.RecordBatch.from_arrays([b["id"], b["d"], pa.array(list(x), pa.list_(pa.float64()))], names=["id", "d", "x"])
+            for i in range(b.num_rows):
+                x = B.unpack(b["x"][i]).reshape(-1, width)[:, :wanted]
+                v = pa.array(list(x), pa.list_(pa.float64()))
+                ids, d = pa.array(B.unpack(b["id"][i], np.int64)), pa.array(B.unpack(b["d"][i]))
+                yield pa.RecordBatch.from_arrays([ids, d, v], names=["id", "d", "v"])
 
-    rows = table.select("id", "d", *[F.col(c).alias(n) for c, n in zip(columns, names)])
-    return rows.mapInArrow(run, "id bigint, d double, x array<double>")
+    both = matrix.nodes.select("block", "id", "d").join(state.select("block", "x"), "block")
+    return both.mapInArrow(run, "id bigint, d double, v array<double>")
 
 
 def ritz(gram: np.ndarray, width: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,23 +227,27 @@ def leading_eigenvectors(graph: DataFrame, wanted: int, degree: int = DEGREE, cy
     from_d, to_d = (degrees.select(F.col("id").alias(c), F.col("d").alias(f"{c}_d")) for c in ("src", "dst"))
     edges = graph.join(from_d, "src").join(to_d, "dst")
     edges = materialize(edges.select("src", "dst", (F.col("w") / F.sqrt(F.col("src_d") * F.col("dst_d"))).alias("w")))
-    width = min(wanted + GUARD, degrees.count())
+    n = degrees.count()
+    if not n:
+        none = graph.sparkSession.createDataFrame([], "id bigint, d double, v array<double>")
+        return Spectrum(np.zeros(0), np.zeros(0), none)
+    width = min(wanted + GUARD, n)
     # the first vector is known; the others start from hashes of the id
     random = [F.xxhash64(F.lit(i), F.col("id")) / F.lit(2.0**63) for i in range(1, width)]
-    state = degrees.select("id", "d", F.array(F.sqrt("d"), *random).alias("x"))
+    matrix = _matrix(edges, degrees, F.array(F.sqrt("d"), *random), n)
+    state = matrix.nodes.select("block", "x", F.lit(b"").alias("before"))
     for _ in range(cycles):
-        table = state.withColumnRenamed("x", "b0")
+        steps = [state]
         for j in range(degree + 1):
-            y = _product(edges, table, f"b{j}", width)
-            made = F.col("_y") if j == 0 else F.zip_with("_y", f"b{j - 1}", lambda a, b: a * 2.0 - b)
-            table = materialize(y.withColumn(f"b{j + 1}", made).drop("_y"))
-        names = [f"b{j}" for j in range(degree + 2)]
-        values, found, residuals = ritz(_gram(table, names), width, width)
-        state = materialize(_combined(table, names[:-1], found))
+            steps.append(_recurrence(matrix, steps[-1], width, j == 0))
+        columns = width * len(steps)
+        stacked = _stacked(matrix, steps, width)
+        values, found, residuals = ritz(_gram(stacked, columns), width, width)
+        state = _combined(stacked, found, columns)
         width = len(values)
         if residuals[:wanted].max() < tolerance:
             break
-    return Spectrum(values[:wanted], residuals[:wanted], state.select("id", "d", F.slice("x", 1, wanted).alias("v")))
+    return Spectrum(values[:wanted], residuals[:wanted], _rows(matrix, state, width, wanted))
 
 
 def spectral_chart(points: DataFrame, dims: int = 2, neighbours: int = NEIGHBOURS, **plan) -> tuple[DataFrame, Spectrum]:

@@ -136,3 +136,24 @@ def test_geodesic_chart_of_few_points(spark):
     assert G.geodesic_chart(frame(spark, [7], np.array([[1.0, 2.0]]))).count() == 1
     same = G.geodesic_chart(frame(spark, range(5), np.ones((5, 2)))).collect()
     assert {(r["z1"], r["z2"]) for r in same} == {(0.0, 0.0)}
+
+
+def test_spectrum_in_several_blocks(spark, cloud, monkeypatch):
+    """The same values from several blocks of nodes; a step of the recurrence shuffles nothing."""
+    ids, vec = cloud
+    *_, value, _ = plain(vec, ids, 9)
+    monkeypatch.setattr(G, "NODES_PER_BLOCK", 40)
+    plans = []
+    kept = G.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(G, "materialize", seen)
+    found = G.leading_eigenvectors(G.neighbour_graph(frame(spark, ids, vec), 10), 3)
+    assert np.allclose(found.values, value[:3], atol=1e-10) and found.vectors.count() == 180
+    steps = [p for p in plans if "CartesianProduct" in p]
+    assert len(steps) >= G.DEGREE + 1 and not any("Exchange" in p for p in steps)
+    none = spark.createDataFrame([], "src long, dst long, w double")
+    assert len(G.leading_eigenvectors(none, 3).values) == 0
